@@ -1 +1,31 @@
-"""A corpus pipeline of five stages, each written and read again before the next."""
+"""A corpus pipeline: stages over documents, each written as Parquet and read again as the next one's docs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import quality_rules, secret_scans
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ORACLE_SQL = None
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.judge(docs, keep=tuple(COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets masked and its length counted again."""
+    return secret_scans.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+STAGES = [("quality_rules", quality), ("secret_scans", secrets)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
