@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, quality_rules, secret_scans, url_filters
+from . import html_extraction, ngram_jaccard, quality_rules, secret_scans, url_filters
 from .common import table
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -24,5 +28,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_html_extraction, op6_quality_rules, op8_url_filters, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op8_url_filters, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
