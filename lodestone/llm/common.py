@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,18 +34,19 @@ def literal_array(values: Iterable, of: str = "double") -> Column:
     return F.split(F.lit(",".join(format(v, ".10g") for v in values)), ",").cast(f"array<{of}>")
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder; the cluster's own setting always wins."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the cluster's own setting, or, where it is unset, one of this machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder: a lost executor loses none of it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once, as a table in the shared folder: a lost executor loses none of it, and joins know its size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lodestone/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_batches(batch, column: int, limit: int = 4 << 20):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, ngram_jaccard, quality_rules, secret_scans, url_filters
+from . import html_extraction, ngram_jaccard, quality_rules, secret_scans, substring_dedup, url_filters
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
@@ -28,5 +32,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op8_url_filters, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op7_substring_dedup, op8_url_filters, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
