@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bind, literal_array, words
+from .common import bind, literal_array, words
 
 # Fixed value: the characters that n_symbols counts.
 SYMBOLS = "#*$%&|<>"
@@ -29,24 +29,28 @@ MAX_REPEAT_PERCENT = 50
 
 
 def char_count(text: Column, of: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, of, ""))
+    others = "[^" + "".join(f"\\x{ord(c):02x}" for c in of) + "]+"
+    return F.length(F.regexp_replace(text, others, ""))
 
 
 def repeated_words(ws: Column) -> Column:
     """Words that lie in 3-word windows found twice or more in the text."""
 
     def count(ws: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")))
-        twice = bind(F.sort_array(windows), lambda s: F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"])))
-        covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-        return F.size(F.array_distinct(covered))
+        windows = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+        return bind(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+
+    def covered(h: Column) -> Column:
+        pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        twice = bind(F.sort_array(pairs), lambda s: F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"])))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     return bind(ws, lambda ws: F.when(F.size(ws) >= 4, count(ws)).otherwise(F.lit(0))).cast("long")
 
 
 def repeated_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
@@ -54,7 +58,7 @@ def base_counts(text: Column, ws: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     return {
         "n_words": F.size(ws).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
+        "word_chars": F.length(F.array_join(ws, "")).cast("long"),
         "n_symbols": char_count(text, SYMBOLS).cast("long"),
         "n_dup_lines": repeated_lines(text),
         "n_repeat_words": repeated_words(ws),
@@ -71,7 +75,9 @@ def cell(*ws: Column, cells: int) -> Column:
 
 def grams(ws: Column, cells: int) -> Column:
     """Cells of a text's unigrams and bigrams."""
-    return bind(ws, lambda ws: F.flatten(F.transform(ws, lambda w, i: F.when(i == 0, F.array(cell(w, cells=cells))).otherwise(F.array(cell(w, cells=cells), cell(F.get(ws, i - 1), w, cells=cells))))))
+    ones = F.transform(ws, lambda w: cell(w, cells=cells))
+    twos = bind(ws, lambda ws: F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: cell(F.get(ws, i - 1), F.get(ws, i), cells=cells))).otherwise(F.array().cast("array<int>")))
+    return F.concat(ones, twos)
 
 
 def strict_profile(text: Column, ws: Column) -> Column:
