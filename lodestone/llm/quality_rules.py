@@ -104,15 +104,14 @@ def fit(docs: DataFrame, text_col: str = "text", cells: int = CELLS, trusted=str
 
 def score(ws: Column, ratios: list[float]) -> Column:
     """Mean log ratio over a text's n-grams; null without words."""
-    table = literal_array(ratios)
     cells = len(ratios)
 
-    def total(ws: Column) -> Column:
+    def total(ws: Column, table: Column) -> Column:
         one = lambda i: F.get(table, cell(F.get(ws, i), cells=cells))
         two = lambda i: F.when(i > 0, F.get(table, cell(F.get(ws, i - 1), F.get(ws, i), cells=cells))).otherwise(F.lit(0.0))
         return F.aggregate(F.sequence(F.lit(0), F.size(ws) - 1), F.lit(0.0), lambda acc, i: acc + one(i) + two(i)) / (F.size(ws) * 2 - 1)
 
-    return bind(ws, lambda ws: F.when(F.size(ws) > 0, total(ws)))
+    return bind(ws, lambda ws: bind(literal_array(ratios), lambda table: F.when(F.size(ws) > 0, total(ws, table))))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:

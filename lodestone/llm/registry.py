@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, ngram_jaccard, quality_rules, secret_scans, substring_dedup, url_filters
+from . import html_extraction, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
 from .common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("shuffle_key")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -28,9 +32,13 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.folded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op7_substring_dedup, op8_url_filters, op10_secret_scans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op7_substring_dedup, op8_url_filters, op9_quality_classifier, op10_secret_scans)}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.oracle()}

@@ -90,16 +90,19 @@ def counts(rows: DataFrame, order: int, cells: int) -> tuple[list[int], list[int
 def ratio(text: Column, accepted: list[int], rejected: list[int], order: int) -> Column:
     """Mean over the characters of ln p_accepted - ln p_rejected."""
     cells = len(accepted)
-    tables = [literal_array(x) for x in (accepted, rejected)]
 
-    def log_p(text: Column, i: Column) -> Column:
+    def log_p(tables: list[Column], text: Column, i: Column) -> Column:
         sides = [F.lit(1 / 256), F.lit(1 / 256)]
         for k in range(order + 1):
             context, gram = keys(text, i, k, order, cells)
             sides = [(F.get(t, gram) + p * PRIOR) / (F.greatest(F.get(t, context), F.get(t, gram)) + PRIOR) for t, p in zip(tables, sides, strict=True)]
         return F.ln(sides[0]) - F.ln(sides[1])
 
-    return F.aggregate(positions(text, order), F.lit(0.0), lambda acc, i: acc + log_p(text, i)) / (F.length(text) - order)
+    def total(tables: list[Column]) -> Column:
+        return F.aggregate(positions(text, order), F.lit(0.0), lambda acc, i: acc + log_p(tables, text, i))
+
+    # Bound, each table stands in the plan once.
+    return bind(literal_array(accepted), lambda a: bind(literal_array(rejected), lambda r: total([a, r]))) / (F.length(text) - order)
 
 
 def cut_off(scored: DataFrame) -> float:
