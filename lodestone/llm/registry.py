@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
+from . import exact_topk, html_extraction, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("shuffle_key")
 
 
+def op2_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op7_substring_dedup, op8_url_filters, op9_quality_classifier, op10_secret_scans)}
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.oracle()}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_exact_topk_search, op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op7_substring_dedup, op8_url_filters, op9_quality_classifier, op10_secret_scans)}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.oracle(), "op2_exact_topk_search": exact_topk.ORACLE}
