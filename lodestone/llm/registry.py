@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, html_extraction, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
+from . import exact_topk, html_extraction, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scans, sentence_pieces, substring_dedup, url_filters
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_exact_topk_search, op3_ngram_jaccard_join, op4_html_extraction, op6_quality_rules, op7_substring_dedup, op8_url_filters, op9_quality_classifier, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_exact_topk_search, op3_ngram_jaccard_join, op4_html_extraction, op5_sentence_pieces, op6_quality_rules, op7_substring_dedup, op8_url_filters, op9_quality_classifier, op10_secret_scans)}
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.oracle(), "op2_exact_topk_search": exact_topk.ORACLE}
