@@ -207,8 +207,11 @@ class Lattices:
             total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, span)), lead))
             beta[s[lead]] = total
             log_q[e] = x - np.repeat(total, span)
-        q = np.concatenate(([0.0], np.cumsum(np.exp(log_q))))
-        cum = q[1:] - q[first[state]]
+        cum = np.exp(log_q)
+        own, rank = np.flatnonzero(np.diff(first)), 1  # summed state by state, so that equal chunks get equal numbers anywhere
+        while len(own := own[first[own] + rank < first[own + 1]]):
+            cum[first[own] + rank] += cum[first[own] + rank - 1]
+            rank += 1
         last = first[1:][first[1:] > first[:-1]] - 1
         cum[last] = 1.0
         shift, edge = len(self.first) - 1, len(self.token)
