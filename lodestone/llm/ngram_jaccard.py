@@ -8,10 +8,13 @@ more than k; so some partition differs in at most one, and two of its three seco
 subset of two is a signature. Subsets without an element are not emitted; a set for which that may hide an equal
 partition (few elements) emits its prefix in hash order too, which two linked sets always share a member of. So no link is lost.
 
+The same count says how many signatures a linked pair shares at least; pairs that share fewer are no candidates.
+
 Equal sets form a class at once and only the smallest id of each class goes on. Signatures travel as packed blocks,
 are sorted in buckets of bounded size, and give stars (least member, other) first. Linked stars, verified on whole
-sets, give components; groups that still span several components then yield their cross pairs, in blocks, behind an
-exact lower bound on the difference (counts of 64 hash ranges). Thus copies never meet in pairs, and no cross pair is skipped.
+sets, give components; groups that still span several components then yield their cross pairs, large groups in pairs of blocks, behind
+exact lower bounds on the difference (counts of 64 hash ranges) and on shared signatures. Thus copies never meet in pairs, and no
+cross pair is skipped.
 
 Defined results: null or empty texts and texts without words have no shingles and link with nothing; a null id takes no
 part and gets a null component; rows that repeat an id give a row each and share its links; texts of any length count whole; an empty
@@ -53,6 +56,7 @@ class Bands:
     def __init__(self) -> None:
         self.all: list[tuple[int, int, int]] = []
         self.known: dict[int, list[tuple[int, int, int]]] = {}
+        self.own: dict[int, int] = {}
 
     def of(self, size: int) -> list[tuple[int, int, int]]:
         """(band, partitions, largest difference from a partner) for each band in which a set of this size is enumerated."""
@@ -63,13 +67,15 @@ class Bands:
                 k = max_difference(high, high)
                 self.all.append((low, high, int((k + 1) / 2 * SLACK) + 1 if k else 0))
             own = next(i for i, (_, high, _) in enumerate(self.all) if size <= high)
+            self.own[size] = own
             some = [own] + [own + 1] * (largest_partner(size) >= self.all[own + 1][0])
             self.known[size] = [(i, self.all[i][2], max_difference(size, min(self.all[i][1], largest_partner(size)))) for i in some if self.all[i][2]]
         return self.known[size]
 
 
 def signatures(items, bands: Bands):
-    """PartEnum signatures of a set of sorted hashes; none where only equal sets link."""
+    """PartEnum signatures of a set of sorted hashes (none where only equal sets link), its band, and how many signatures of that
+    band and of the next it shares at least with any set that links with it there (0: only the prefix is sure)."""
     import numpy as np
 
     from .tokens import mix
@@ -79,7 +85,10 @@ def signatures(items, bands: Bands):
     mixed = mix(items ^ np.uint64(0x5851F42D4C957F2D))
     high = items >> np.uint64(32)
     unsafe = False
-    for band, n1, most in bands.of(size):
+    some_bands = bands.of(size)
+    own_band = bands.own[size]
+    sure = [0, 0]
+    for band, n1, most in some_bands:
         part = ((high * np.uint64(3 * n1)) >> np.uint64(32)).astype(np.int64)
         begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         total = np.zeros(3 * n1, np.uint64)
@@ -94,10 +103,22 @@ def signatures(items, bands: Bands):
         filled = full.sum(1)
         empty, single = int((filled == 0).sum()), int((filled == 1).sum())
         spent = min(most, single)
-        unsafe |= n1 <= empty + spent + (most - spent) // 2
+        sure[band - own_band] = max(0, n1 - (empty + spent + (most - spent) // 2))
+        unsafe |= not sure[band - own_band]
     if unsafe:
         out.append(mix(items[: size - -(-size * NUMERATOR // DENOMINATOR) + 1] ^ np.uint64(0x2545F4914F6CDD1D)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), (own_band, *sure)
+
+
+def needed(a, b):
+    """How many signatures two sets share at least if they link; a, b: rows of (band, sure in it, sure in the next). 0: they can't link."""
+    import numpy as np
+
+    gap = b[:, 0].astype(np.int64) - a[:, 0]
+    same = np.maximum(np.maximum(a[:, 1], b[:, 1]), np.maximum(a[:, 2], b[:, 2]))
+    up, down = np.maximum(a[:, 2], b[:, 1]), np.maximum(a[:, 1], b[:, 2])
+    least = np.maximum(np.where(gap == 0, same, np.where(gap == 1, up, down)), 1)
+    return np.where(np.abs(gap) <= 1, least, 0).astype(np.int64)
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
@@ -132,6 +153,7 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         bands, seen = Bands(), set()
         found: list = []
         ids: list[int] = []
+        sure: list[tuple[int, int, int]] = []
 
         def flush():
             sig = np.concatenate(found)
@@ -142,12 +164,14 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
             raw = sig.view(np.uint8).reshape(-1, 8)[:, 3:]
             names = np.array(ids, np.int64).tobytes()
+            bounds = np.array(sure, np.uint16).tobytes()
             some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
             found.clear()
             ids.clear()
+            sure.clear()
             for at in range(0, len(some), 16):
                 part = some[at : at + 16]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([np.ascontiguousarray(raw[edge[b] : edge[b + 1]]).tobytes() for b in part], pa.binary()), pa.array([doc[edge[b] : edge[b + 1]].tobytes() for b in part], pa.binary()), pa.array([names] * len(part), pa.binary())], ["bucket", "sigs", "places", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([np.ascontiguousarray(raw[edge[b] : edge[b + 1]]).tobytes() for b in part], pa.binary()), pa.array([doc[edge[b] : edge[b + 1]].tobytes() for b in part], pa.binary()), pa.array([names] * len(part), pa.binary()), pa.array([bounds] * len(part), pa.binary())], ["bucket", "sigs", "places", "ids", "sure"])
 
         held = 0
         for whole in batches:
@@ -161,10 +185,11 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-                    sig = signatures(s, bands)
+                    sig, bound = signatures(s, bands)
                     if len(sig):
                         found.append(sig)
                         ids.append(doc)
+                        sure.append(tuple(min(x, 65535) for x in bound))
                         held += len(sig)
                     if held >= RECORDS or len(ids) >= 65_000:
                         yield from flush()
@@ -172,12 +197,13 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         if found:
             yield from flush()
 
-    return docs.mapInArrow(work, "bucket int, sigs binary, places binary, ids binary")
+    return docs.mapInArrow(work, "bucket int, sigs binary, places binary, ids binary, sure binary")
 
 
 def _grouped(packed: DataFrame) -> DataFrame:
-    """Of each bucket: its stars (a, b), once each, and its groups of three or more members, equal ones once."""
-    schema = "a long, b long, members array<long>"
+    """Of each bucket: its stars (a, b) with the number of groups behind them, of those of two members (pairs), and that needed;
+    and its groups of three or more members, equal ones once, with how many they are (times) and the members' bounds."""
+    schema = "a long, b long, times int, pairs int, need int, gid long, members array<struct<doc:long,band:int,here:int,next:int>>"
 
     def work(table):
         import numpy as np
@@ -185,59 +211,58 @@ def _grouped(packed: DataFrame) -> DataFrame:
 
         from .tokens import mix
 
-        sig, doc = [], []
-        for s, p, i in zip(*(table.column(c).to_pylist() for c in ("sigs", "places", "ids")), strict=True):
+        sig, doc, sure = [], [], []
+        for s, p, i, t in zip(*(table.column(c).to_pylist() for c in ("sigs", "places", "ids", "sure")), strict=True):
             raw = np.zeros((len(s) // 5, 8), np.uint8)
             raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
+            place = np.frombuffer(p, np.uint16)
             sig.append(raw.view(np.uint64).ravel())
-            doc.append(np.frombuffer(i, np.int64)[np.frombuffer(p, np.uint16)])
-        sig, doc = np.concatenate(sig), np.concatenate(doc)
+            doc.append(np.frombuffer(i, np.int64)[place])
+            sure.append(np.frombuffer(t, np.uint16).reshape(-1, 3)[place])
+        sig, doc, sure = np.concatenate(sig), np.concatenate(doc), np.concatenate(sure)
         order = np.argsort(sig)
-        sig, doc = sig[order], doc[order]
-        same = sig[1:] == sig[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        sig, doc = sig[shared], doc[shared]
+        same = sig[order][1:] == sig[order][:-1]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        sig, doc, sure = sig[order], doc[order], sure[order]
         order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
+        sig, doc, sure = sig[order], doc[order], sure[order]
         if len(sig):
             once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])))
-            sig, doc = sig[once], doc[once]
+            sig, doc, sure = sig[once], doc[once], sure[once]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((first, [len(sig)])))
-        head = np.repeat(doc[first], size) if len(sig) else doc
+        head = np.repeat(first, size)
         names, place = np.unique(doc, return_inverse=True)
-        code = np.unique((np.searchsorted(names, head) * len(names) + place)[head != doc])
-        a, b = (names[code // len(names)], names[code % len(names)]) if len(code) else (names[:0], names[:0])
+        star = np.flatnonzero(head != np.arange(len(doc)))
+        code, lead, times = np.unique(place[head[star]] * len(names) + place[star], return_index=True, return_counts=True)
+        pairs = np.bincount(np.searchsorted(code, place[head[star]] * len(names) + place[star]), weights=np.repeat(size, size)[star] == 2, minlength=len(code)) if len(code) else np.zeros(0)
+        lead = star[lead]
+        need = needed(sure[head[lead]], sure[lead])
+        some = need > 0
+        a, b, times, pairs, need = doc[head[lead]][some], doc[lead][some], times[some], pairs[some], need[some]
         total = np.add.reduceat(mix(doc.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
         large = np.flatnonzero(size >= 3)
-        _, pick = np.unique(total[large], return_index=True)
+        gid, pick, count = np.unique(total[large], return_index=True, return_counts=True)
         large = large[pick]
-        lists = [doc[first[g] : first[g] + size[g]] for g in large.tolist()]
-        none = len(lists)
-        members = pa.array([None] * len(a) + lists, pa.list_(pa.int64()))
-        return pa.table({"a": pa.array([*a.tolist(), *[None] * none], pa.int64()), "b": pa.array([*b.tolist(), *[None] * none], pa.int64()), "members": members})
+        span = size[large]
+        rows = np.repeat(first[large] - np.concatenate(([0], np.cumsum(span)[:-1])).astype(np.int64), span) + np.arange(int(span.sum()))
+        fields = [pa.array(x) for x in (doc[rows], *(sure[rows, i].astype(np.int32) for i in range(3)))]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(span))), pa.int32()), pa.StructArray.from_arrays(fields, ["doc", "band", "here", "next"]))
+        bucket = np.uint64(table.column("bucket")[0].as_py())
+        n, m = len(a), len(large)
+        both = lambda x, y, kind: pa.concat_arrays([pa.nulls(n, kind) if x is None else pa.array(x.astype(kind.to_pandas_dtype())), pa.nulls(m, kind) if y is None else pa.array(y.astype(kind.to_pandas_dtype()))])
+        cols = [both(a, None, pa.int64()), both(b, None, pa.int64()), both(times, count, pa.int32()), both(pairs, None, pa.int32()), both(need, None, pa.int32()), both(None, mix(gid + mix(np.array([bucket]))).view(np.int64), pa.int64()), pa.concat_arrays([pa.nulls(n, lists.type), lists])]
+        return pa.table(cols, names=["a", "b", "times", "pairs", "need", "gid", "members"])
 
     return packed.groupBy("bucket").applyInArrow(work, schema)
 
 
-def _plausible(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b), a < b, once each, of class representatives whose sizes and range counts allow a link. known: doc_id, rep, n, ranges."""
-
-    def work(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in ("ra", "rb"))
-            na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
-            far = np.abs(x - y).sum(1)
-            ok = pa.array((far * (DENOMINATOR + NUMERATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR)) & (np.minimum(na, nb) * DENOMINATOR >= np.maximum(na, nb) * NUMERATOR))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(ok)
-
-    side = lambda x: known.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a != rep_b")
-    full = full.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "na", "nb", "ra", "rb")
-    return full.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _stars(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b), a < b, of class representatives, with the groups they lead and share (times), those of two (pairs), and that needed."""
+    rep = lambda x: known.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")).distinct()
+    full = groups.filter("members is null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.sum("pairs").alias("pairs"), F.max("need").alias("need"))
+    full = full.join(rep("a"), "a").join(rep("b"), "b").filter("rep_a != rep_b")
+    return full.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.sum("times").alias("times"), F.sum("pairs").alias("pairs"), F.max("need").alias("need"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -278,38 +303,67 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(work, "a long, b long").distinct()
 
 
-def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of members in different components, of each group that spans several, behind the range bound. Large groups go in pairs of blocks."""
+def _cross_pairs(groups: DataFrame, stars: DataFrame, known: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members in different components that share enough groups, behind the range bound. Large groups go in pairs of blocks."""
 
-    def work(table):
+    def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        doc, comp, n, block = (np.asarray(table.column(c)) for c in ("doc", "component", "n", "block"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ranges = np.frombuffer(b"".join(table.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
-        rows = np.flatnonzero(block == i)
-        cols = np.flatnonzero(block == j)
-        a, b = [], []
-        for r in rows.tolist():
-            some = cols[(comp[cols] != comp[r]) & ((doc[cols] > doc[r]) if i == j else True)]
-            some = some[(np.minimum(n[some], n[r]) * DENOMINATOR >= np.maximum(n[some], n[r]) * NUMERATOR)]
-            far = np.abs(ranges[some] - ranges[r]).sum(1)
-            some = some[far * (DENOMINATOR + NUMERATOR) <= (n[some] + n[r]) * (DENOMINATOR - NUMERATOR)]
-            a += [int(doc[r])] * len(some)
-            b += doc[some].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    rep = known.select(F.col("doc_id").alias("doc"), "rep")
-    members = groups.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("doc")).join(rep, "doc").select("gid", F.col("rep").alias("doc")).distinct()
-    placed = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").select("gid", "doc", F.coalesce("component", "doc").alias("component"))
+        def pairs_of(t):
+            cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "component", "n", "times")}
+            sure = np.stack([np.asarray(t.column(c)) for c in ("band", "here", "next")], 1)
+            ranges = np.frombuffer(b"".join(t.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+            key = np.stack([np.asarray(t.column("gid")), cols["i"].astype(np.int64), cols["j"].astype(np.int64)])
+            edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
+            end = np.repeat(np.concatenate((edge[1:], [key.shape[1]])), np.diff(np.concatenate((edge, [key.shape[1]]))))
+            partners = end - np.arange(len(end)) - 1
+            slot = np.cumsum(partners) // 500_000
+            for lo, hi in zip(np.searchsorted(slot, np.unique(slot)).tolist(), np.searchsorted(slot, np.unique(slot), "right").tolist(), strict=True):
+                count = partners[lo:hi]
+                x = np.repeat(np.arange(lo, hi), count)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+                c = cols
+                ok = (c["component"][x] != c["component"][y]) & ((c["i"][x] == c["j"][x]) | (c["block"][x] != c["block"][y]))
+                ok &= np.minimum(c["n"][x], c["n"][y]) * DENOMINATOR >= np.maximum(c["n"][x], c["n"][y]) * NUMERATOR
+                x, y = x[ok], y[ok]
+                far = np.concatenate([np.abs(ranges[x[k : k + 100_000]] - ranges[y[k : k + 100_000]]).sum(1) for k in range(0, len(x), 100_000)] or [np.zeros(0)])
+                ok = far * (DENOMINATOR + NUMERATOR) <= (c["n"][x] + c["n"][y]) * (DENOMINATOR - NUMERATOR)
+                x, y = x[ok], y[ok]
+                need = needed(sure[x], sure[y])
+                x, y, need = x[need > 0], y[need > 0], need[need > 0]
+                a, b = np.minimum(c["doc"][x], c["doc"][y]), np.maximum(c["doc"][x], c["doc"][y])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c["times"][x].astype(np.int64)), pa.array(need)], ["a", "b", "times", "need"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [t.column(c)[-1].as_py() for c in ("gid", "i", "j")]
+            keys = [np.asarray(t.column(c)) for c in ("gid", "i", "j")]
+            inside = np.logical_and.reduce([k == v for k, v in zip(keys, last, strict=True)])
+            at = int(len(inside) - np.argmin(inside[::-1])) if not inside.all() else 0
+            held = t.slice(at).combine_chunks()
+            if at:
+                yield from pairs_of(t.slice(0, at).combine_chunks())
+        if held is not None and held.num_rows:
+            yield from pairs_of(held)
+
+    rep = known.select(F.col("doc_id").alias("doc"), "rep").distinct()
+    members = groups.filter("members is not null").select("gid", "times", F.inline("members")).join(rep, "doc")
+    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("times", "band", "here", "next")))
+    placed = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     wide = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x != y").select("gid", "blocks")
     facts = known.filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "n", "ranges").dropDuplicates(["doc"])
     rows = placed.join(wide, "gid").join(facts, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges")
-    found = rows.groupBy("gid", "i", "j").applyInArrow(work, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "times", "band", "here", "next")
+    found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(work, "a long, b long, times long, need long")
+    node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    twos = stars.filter("pairs > 0").select("a", "b", F.col("pairs").cast("long").alias("times"), F.col("need").cast("long").alias("need"))
+    twos = twos.join(node("a"), "a", "left").join(node("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "times", "need")
+    return found.unionByName(twos).groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
@@ -323,10 +377,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     total = facts.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 1.2) // BUCKET))
     groups = cut(_grouped(_packed(docs, n, buckets)))
-    stars = cut(_plausible(groups.filter("members is null").select("a", "b"), known))
-    links = cut(_linked(stars, docs, n))
+    stars = cut(_stars(groups, known))
+    tried = stars.filter("times >= need").select("a", "b")
+    links = cut(_linked(tried, docs, n))
     component = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    cross = cut(_cross_pairs(groups.filter("members is not null"), known, component).join(stars, ["a", "b"], "left_anti"))
+    cross = cut(_cross_pairs(groups, stars, known, component).join(tried, ["a", "b"], "left_anti"))
     more = _linked(cross, docs, n)
     node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     bridges = more.join(node("a"), "a", "left").join(node("b"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
