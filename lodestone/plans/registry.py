@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import chains, relational
 
-QUERIES: dict = dict(relational.QUERIES)
-ORACLES: dict[str, str] = dict(relational.ORACLES)
+QUERIES: dict = {**relational.QUERIES, **chains.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **chains.ORACLES}
