@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, relational
+from . import chains, relational, statements
 
-QUERIES: dict = {**relational.QUERIES, **chains.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **chains.ORACLES}
+QUERIES: dict = {**relational.QUERIES, **chains.QUERIES, **statements.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **chains.ORACLES, **statements.ORACLES}

@@ -28,7 +28,7 @@ def copy_from(spark: SparkSession, path: str, columns: list[tuple[str, SqlType]]
     """Rows of a COPY file. Text: tabs, \\N for NULL, backslash escapes. CSV: an empty unquoted field is NULL."""
     fields = schema([(name, SqlType("text", 25)) for name, _ in columns])
     if fmt == "csv":
-        raw = spark.read.schema(fields).csv(path, header=header, sep=delimiter or ",", quote=quote, escape=escape or quote, nullValue=null or "", emptyValue="", multiLine=True, mode="FAILFAST")
+        raw = spark.read.schema(fields).csv(path, header=header, sep=delimiter or ",", quote=quote, escape=escape or quote, nullValue=null or "", emptyValue="", multiLine=True, mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         return _typed(raw, columns)
     if fmt != "text":
         raise DataError(f"COPY format {fmt!r} is not supported", "22023")
@@ -39,10 +39,10 @@ def copy_from(spark: SparkSession, path: str, columns: list[tuple[str, SqlType]]
     checked = F.when(F.size(parts) == width, parts).otherwise(F.raise_error(F.concat(F.lit(f"a row has not {width} columns: "), F.col("value"))).cast("array<string>"))
 
     def plain(c):
-        c = F.regexp_replace(c, r"\\t", "\t")
-        c = F.regexp_replace(c, r"\\n", "\n")
-        c = F.regexp_replace(c, r"\\r", "\r")
-        return F.regexp_replace(c, r"\\\\", r"\\")
+        c = F.regexp_replace(c, r"\\\\", "\0")  # a doubled backslash waits as NUL, which no text value holds
+        for mark, char in (("t", "\t"), ("n", "\n"), ("r", "\r")):
+            c = F.regexp_replace(c, rf"\\{mark}", char)
+        return F.translate(c, "\0", "\\")
 
     raw = lines.select(checked.alias("p")).select(*(F.when(F.get("p", F.lit(i)) != F.lit(null), plain(F.get("p", F.lit(i)))).alias(name) for i, (name, _) in enumerate(columns)))
     return _typed(raw, columns)
@@ -61,14 +61,14 @@ def copy_to(df: DataFrame, path: str, fmt: str = "text", header: bool = False, d
     """Write df as COPY does; one part file a partition."""
     text = rendered(df)
     if fmt == "csv":
-        text.write.csv(path, header=header, sep=delimiter or ",", nullValue=null or "", emptyValue='""', escape='"')
+        text.write.csv(path, header=header, sep=delimiter or ",", nullValue=null or "", emptyValue='""', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         return
     null = "\\N" if null is None else null
 
     def escaped(c):
-        c = F.regexp_replace(c, r"\\", r"\\\\\\\\")
-        c = F.regexp_replace(c, "\t", r"\\\\t")
-        c = F.regexp_replace(c, "\n", r"\\\\n")
-        return F.regexp_replace(c, "\r", r"\\\\r")
+        c = F.regexp_replace(c, r"\\", r"\\\\")
+        for mark, char in (("t", "\t"), ("n", "\n"), ("r", "\r")):
+            c = F.regexp_replace(c, char, rf"\\{mark}")
+        return c
 
     text.select(F.concat_ws(delimiter or "\t", *(F.coalesce(escaped(F.col(c)), F.lit(null)) for c in text.columns)).alias("value")).write.text(path)

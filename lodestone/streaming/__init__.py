@@ -1,0 +1 @@
+"""Micro-batch writes of streams into versioned tables."""
