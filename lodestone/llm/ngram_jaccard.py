@@ -8,7 +8,9 @@ more than k; so some partition differs in at most one, and two of its three seco
 subset of two is a signature. Subsets without an element are not emitted; a set for which that may hide an equal
 partition (few elements) emits its prefix in hash order too, which two linked sets always share a member of. So no link is lost.
 
-The same count says how many signatures a linked pair shares at least; pairs that share fewer are no candidates.
+The same count says how many signatures of a band a linked pair shares at least. Pairs that share fewer are no candidates; and a set that
+must share t of them can spare t - 1: if no more than that many of its signatures are hot (in HOT sets or more, as those inside a
+passage that many documents repeat), it leaves the hot groups, for the rarest signature that a pair shares remains to both.
 
 Equal sets form a class at once and only the smallest id of each class goes on. Signatures travel as packed blocks,
 are sorted in buckets of bounded size, and give stars (least member, other) first. Linked stars, verified on whole
@@ -37,6 +39,7 @@ SLACK = 1.15  # more first-level partitions than needed, so that few sets need t
 RECORDS = 3_000_000  # packed records that a task holds before it passes them on
 BUCKET = 6_000_000  # signatures a bucket, about
 RANGES = 64
+HOT = 16  # members from which on a group counts as hot
 BLOCK = 2048  # members of a group in a block
 STAR = 4096  # members of a star checked in one run
 
@@ -99,26 +102,29 @@ def signatures(items, bands: Bands):
         own = (np.arange(n1, dtype=np.uint64) << np.uint64(2)) + (np.uint64(band) << np.uint64(40))
         for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
             some = full[:, a] | full[:, b]
-            out.append(mix(mix(total[some, a] + own[some] + np.uint64(i)) + total[some, b] * np.uint64(0x9FB21C651E98DF25)))
+            out.append(of_kind(mix(mix(total[some, a] + own[some] + np.uint64(i)) + total[some, b] * np.uint64(0x9FB21C651E98DF25)), band & 1))
         filled = full.sum(1)
         empty, single = int((filled == 0).sum()), int((filled == 1).sum())
         spent = min(most, single)
         sure[band - own_band] = max(0, n1 - (empty + spent + (most - spent) // 2))
         unsafe |= not sure[band - own_band]
     if unsafe:
-        out.append(mix(items[: size - -(-size * NUMERATOR // DENOMINATOR) + 1] ^ np.uint64(0x2545F4914F6CDD1D)))
+        out.append(of_kind(mix(items[: size - -(-size * NUMERATOR // DENOMINATOR) + 1] ^ np.uint64(0x2545F4914F6CDD1D)), 2))
     return np.concatenate(out) if out else np.zeros(0, np.uint64), (own_band, *sure)
 
 
-def needed(a, b):
-    """How many signatures two sets share at least if they link; a, b: rows of (band, sure in it, sure in the next). 0: they can't link."""
+def of_kind(sig, kind: int):
+    """Signatures whose two bits from 24 on say that they are of an even band (0), an odd one (1) or a prefix (2)."""
     import numpy as np
 
-    gap = b[:, 0].astype(np.int64) - a[:, 0]
-    same = np.maximum(np.maximum(a[:, 1], b[:, 1]), np.maximum(a[:, 2], b[:, 2]))
-    up, down = np.maximum(a[:, 2], b[:, 1]), np.maximum(a[:, 1], b[:, 2])
-    least = np.maximum(np.where(gap == 0, same, np.where(gap == 1, up, down)), 1)
-    return np.where(np.abs(gap) <= 1, least, 0).astype(np.int64)
+    return (sig & ~np.uint64(3 << 24)) | np.uint64(kind << 24)
+
+
+def sure_of(bounds, kind):
+    """How many signatures of a kind sets share at least with a linked set; bounds: rows of (band, sure in it, sure in the next)."""
+    import numpy as np
+
+    return np.where(kind == 2, 1, np.where(bounds[:, 0] % 2 == kind, bounds[:, 1], bounds[:, 2])).astype(np.int64)
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
@@ -201,9 +207,9 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def _grouped(packed: DataFrame) -> DataFrame:
-    """Of each bucket: its stars (a, b) with the number of groups behind them, of those of two members (pairs), and that needed;
+    """Of each bucket and kind: its stars (a, b) with the number of groups behind them, of those of two members (pairs), and that needed;
     and its groups of three or more members, equal ones once, with how many they are (times) and the members' bounds."""
-    schema = "a long, b long, times int, pairs int, need int, gid long, members array<struct<doc:long,band:int,here:int,next:int>>"
+    schema = "a long, b long, kind int, times int, pairs int, sure_a int, sure_b int, gid long, members array<struct<doc:long,band:int,sure:int>>"
 
     def work(table):
         import numpy as np
@@ -234,35 +240,41 @@ def _grouped(packed: DataFrame) -> DataFrame:
         head = np.repeat(first, size)
         names, place = np.unique(doc, return_inverse=True)
         star = np.flatnonzero(head != np.arange(len(doc)))
-        code, lead, times = np.unique(place[head[star]] * len(names) + place[star], return_index=True, return_counts=True)
-        pairs = np.bincount(np.searchsorted(code, place[head[star]] * len(names) + place[star]), weights=np.repeat(size, size)[star] == 2, minlength=len(code)) if len(code) else np.zeros(0)
+        kind = (sig & np.uint64(3)).astype(np.int64)
+        bound = sure_of(sure, kind)
+        code = (place[head[star]] * len(names) + place[star]) * 4 + kind[star]
+        code, lead, where, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        pairs = np.bincount(where, weights=np.repeat(size, size)[star] == 2, minlength=len(code)) if len(code) else np.zeros(0)
         lead = star[lead]
-        need = needed(sure[head[lead]], sure[lead])
-        some = need > 0
-        a, b, times, pairs, need = doc[head[lead]][some], doc[lead][some], times[some], pairs[some], need[some]
-        total = np.add.reduceat(mix(doc.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        total = np.add.reduceat(mix(doc.view(np.uint64) * np.uint64(4) + kind.astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
         large = np.flatnonzero(size >= 3)
         gid, pick, count = np.unique(total[large], return_index=True, return_counts=True)
         large = large[pick]
         span = size[large]
         rows = np.repeat(first[large] - np.concatenate(([0], np.cumsum(span)[:-1])).astype(np.int64), span) + np.arange(int(span.sum()))
-        fields = [pa.array(x) for x in (doc[rows], *(sure[rows, i].astype(np.int32) for i in range(3)))]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(span))), pa.int32()), pa.StructArray.from_arrays(fields, ["doc", "band", "here", "next"]))
+        fields = [pa.array(x) for x in (doc[rows], sure[rows, 0].astype(np.int32), bound[rows].astype(np.int32))]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(span))), pa.int32()), pa.StructArray.from_arrays(fields, ["doc", "band", "sure"]))
         bucket = np.uint64(table.column("bucket")[0].as_py())
-        n, m = len(a), len(large)
-        both = lambda x, y, kind: pa.concat_arrays([pa.nulls(n, kind) if x is None else pa.array(x.astype(kind.to_pandas_dtype())), pa.nulls(m, kind) if y is None else pa.array(y.astype(kind.to_pandas_dtype()))])
-        cols = [both(a, None, pa.int64()), both(b, None, pa.int64()), both(times, count, pa.int32()), both(pairs, None, pa.int32()), both(need, None, pa.int32()), both(None, mix(gid + mix(np.array([bucket]))).view(np.int64), pa.int64()), pa.concat_arrays([pa.nulls(n, lists.type), lists])]
-        return pa.table(cols, names=["a", "b", "times", "pairs", "need", "gid", "members"])
+        n, m = len(lead), len(large)
+        both = lambda x, y, t: pa.concat_arrays([pa.nulls(n, t) if x is None else pa.array(x.astype(t.to_pandas_dtype())), pa.nulls(m, t) if y is None else pa.array(y.astype(t.to_pandas_dtype()))])
+        gid = mix(gid + mix(np.array([bucket]))).view(np.int64)
+        cols = [both(doc[head[lead]], None, pa.int64()), both(doc[lead], None, pa.int64()), both(kind[lead], kind[first[large]], pa.int32()), both(times, count, pa.int32()), both(pairs, None, pa.int32()), both(bound[head[lead]], None, pa.int32()), both(bound[lead], None, pa.int32()), both(None, gid, pa.int64()), pa.concat_arrays([pa.nulls(n, lists.type), lists])]
+        return pa.table(cols, names=["a", "b", "kind", "times", "pairs", "sure_a", "sure_b", "gid", "members"])
 
     return packed.groupBy("bucket").applyInArrow(work, schema)
 
 
-def _stars(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b), a < b, of class representatives, with the groups they lead and share (times), those of two (pairs), and that needed."""
+def _representatives(pairs: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """pairs (a, b) with each id's class representative in its place; pairs within a class go."""
     rep = lambda x: known.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")).distinct()
-    full = groups.filter("members is null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.sum("pairs").alias("pairs"), F.max("need").alias("need"))
-    full = full.join(rep("a"), "a").join(rep("b"), "b").filter("rep_a != rep_b")
-    return full.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.sum("times").alias("times"), F.sum("pairs").alias("pairs"), F.max("need").alias("need"))
+    return pairs.join(rep("a"), "a").join(rep("b"), "b").filter("rep_a != rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), *more)
+
+
+def _stars(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each: the stars whose least member leads as many of their groups as a link needs. The first to be verified."""
+    summed = groups.filter("members is null").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max(F.greatest("sure_a", "sure_b", F.lit(1))).alias("need")).filter("times >= need")
+    found = _representatives(summed.select("a", "b").distinct(), known)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -303,16 +315,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(work, "a long, b long").distinct()
 
 
-def _cross_pairs(groups: DataFrame, stars: DataFrame, known: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members in different components that share enough groups, behind the range bound. Large groups go in pairs of blocks."""
+def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that share as many groups of a kind as a link needs, behind the range bound. Large groups go in pairs of blocks."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         def pairs_of(t):
-            cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "component", "n", "times")}
-            sure = np.stack([np.asarray(t.column(c)) for c in ("band", "here", "next")], 1)
+            cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "component", "n", "times", "kind", "sure", "spared")}
             ranges = np.frombuffer(b"".join(t.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
             key = np.stack([np.asarray(t.column("gid")), cols["i"].astype(np.int64), cols["j"].astype(np.int64)])
             edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
@@ -330,10 +341,9 @@ def _cross_pairs(groups: DataFrame, stars: DataFrame, known: DataFrame, componen
                 far = np.concatenate([np.abs(ranges[x[k : k + 100_000]] - ranges[y[k : k + 100_000]]).sum(1) for k in range(0, len(x), 100_000)] or [np.zeros(0)])
                 ok = far * (DENOMINATOR + NUMERATOR) <= (c["n"][x] + c["n"][y]) * (DENOMINATOR - NUMERATOR)
                 x, y = x[ok], y[ok]
-                need = needed(sure[x], sure[y])
-                x, y, need = x[need > 0], y[need > 0], need[need > 0]
+                need = left_needed(c["sure"][x], c["sure"][y], c["spared"][x], c["spared"][y])
                 a, b = np.minimum(c["doc"][x], c["doc"][y]), np.maximum(c["doc"][x], c["doc"][y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c["times"][x].astype(np.int64)), pa.array(need)], ["a", "b", "times", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c["kind"][x]), pa.array(c["times"][x].astype(np.int64)), pa.array(need.astype(np.int32))], ["a", "b", "kind", "times", "need"])
 
         held = None
         for batch in batches:
@@ -351,19 +361,37 @@ def _cross_pairs(groups: DataFrame, stars: DataFrame, known: DataFrame, componen
             yield from pairs_of(held)
 
     rep = known.select(F.col("doc_id").alias("doc"), "rep").distinct()
-    members = groups.filter("members is not null").select("gid", "times", F.inline("members")).join(rep, "doc")
-    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("times", "band", "here", "next")))
+    members = groups.filter("members is not null").select("gid", "kind", "times", F.size("members").alias("size"), F.inline("members")).join(rep, "doc")
+    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "times", "size", "band", "sure")))
+    hot = members.filter(F.col("size") >= HOT).groupBy("doc", "kind").agg(F.sum("times").alias("spared"), F.max("sure").alias("sure")).filter("kind < 2 AND spared < sure")
+    hot = cut(hot.select("doc", "kind", F.col("spared").cast("int").alias("spared")))
+    members = members.join(hot, ["doc", "kind"], "left").filter(F.col("spared").isNull() | (F.col("size") < HOT)).withColumn("spared", F.coalesce("spared", F.lit(0)))
     placed = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     wide = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x != y").select("gid", "blocks")
     facts = known.filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "n", "ranges").dropDuplicates(["doc"])
     rows = placed.join(wide, "gid").join(facts, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "times", "band", "here", "next")
-    found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(work, "a long, b long, times long, need long")
+    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "kind", "times", "sure", "spared")
+    found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(work, "a long, b long, kind int, times long, need int")
+
     node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    twos = stars.filter("pairs > 0").select("a", "b", F.col("pairs").cast("long").alias("times"), F.col("need").cast("long").alias("need"))
-    twos = twos.join(node("a"), "a", "left").join(node("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "times", "need")
-    return found.unionByName(twos).groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b")
+    spare = lambda x: hot.select(F.col("doc").alias(x), "kind", F.col("spared").alias(f"s{x}"))
+    summed = groups.filter("pairs > 0").groupBy("a", "b", "kind").agg(F.sum("pairs").alias("times"), F.max("sure_a").alias("sure_a"), F.max("sure_b").alias("sure_b"))
+    twos = _representatives(summed, known, "kind", "times", "sure_a", "sure_b").join(node("a"), "a", "left").join(node("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    twos = twos.join(spare("a"), ["a", "kind"], "left").join(spare("b"), ["b", "kind"], "left")
+    none = F.least(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0)))
+    spared = F.when(none > 0, none).otherwise(F.coalesce("sa", "sb", F.lit(0)))
+    need = F.greatest(F.greatest("sure_a", "sure_b") - spared, F.lit(1)).cast("int")
+    twos = twos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", F.col("times").cast("long").alias("times"), need.alias("need"))
+    return found.unionByName(twos).groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b").distinct()
+
+
+def left_needed(sure_a, sure_b, spared_a, spared_b):
+    """How many groups a linked pair shares at least, when these many hot ones of each may be gone (0: none is)."""
+    import numpy as np
+
+    lost = np.where((spared_a > 0) & (spared_b > 0), np.minimum(spared_a, spared_b), np.maximum(spared_a, spared_b))
+    return np.maximum(np.maximum(sure_a, sure_b) - lost, 1)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
@@ -378,10 +406,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 1.2) // BUCKET))
     groups = cut(_grouped(_packed(docs, n, buckets)))
     stars = cut(_stars(groups, known))
-    tried = stars.filter("times >= need").select("a", "b")
-    links = cut(_linked(tried, docs, n))
+    links = cut(_linked(stars, docs, n))
     component = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    cross = cut(_cross_pairs(groups, stars, known, component).join(tried, ["a", "b"], "left_anti"))
+    cross = cut(_cross_pairs(groups, known, component).join(stars, ["a", "b"], "left_anti"))
     more = _linked(cross, docs, n)
     node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     bridges = more.join(node("a"), "a", "left").join(node("b"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
