@@ -415,4 +415,4 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     joined = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     final = component.join(joined, "component", "full").select(F.coalesce("node", "component").alias("rep"), F.coalesce("whole", "component").alias("c"))
     final = final.unionByName(joined.select(F.col("component").alias("rep"), F.col("whole").alias("c"))).groupBy("rep").agg(F.min("c").alias("c"))
-    return full.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.coalesce("c", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    return full.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("c", "rep")).otherwise(F.col("doc_id"))).alias("component_id"))

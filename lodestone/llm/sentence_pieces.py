@@ -2,8 +2,8 @@
 
 The vocabulary file is read as it is. Its pieces get unigram log-probabilities by rank, ln p = -ln(1 + rank) + const,
 characters without a piece fall back to their bytes. No piece holds a space but at its start, so the lattice of a text is
-a chain of small lattices, one for each chunk (spaces and what follows up to the next space or line feed); equal
-chunks share one. Backward sums over a chunk's lattice make each step of a segmentation a draw from its edges.
+a chain of small lattices, one for each chunk (spaces and what follows up to the next space, line feed, or change between Latin letters
+and others, where the vocabulary has no piece across it); equal chunks share one. Backward sums over a chunk's lattice make each step of a segmentation a draw from its edges.
 
 The search is Gumbel top-k in the tree of partial segmentations: the root's perturbed score is a standard Gumbel number, the
 drawn child inherits its parent's score, and its siblings together get one Gumbel number of their joint mass, truncated below
@@ -35,8 +35,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
 SEED = 7
 MARK = "▁"
-CHUNK = re.compile(f" *[^ \n{MARK}]+| +|[\n{MARK}]")
-MAX_CHUNKS = 120_000  # kept lattices of a task, before it starts anew
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+# Chunks, where no piece goes on from a Latin letter to another character or back, and where one does.
+CUT_CHUNK = re.compile(f" *[{LATIN}]+| *[^ \n{MARK}{LATIN}]+| +|[\n{MARK}]")
+WHOLE_CHUNK = re.compile(f" *[^ \n{MARK}]+| +|[\n{MARK}]")
+MAX_CHUNKS = 160_000  # kept lattices of a task, before it starts anew
 
 
 class Vocabulary:
@@ -57,6 +60,9 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces.append((piece, i))
         total = sum(1 / (1 + r) for r in range(1, n + 1))
+        latin = re.compile(f"[{LATIN}]")
+        mixed = any(bool(latin.match(a)) != bool(latin.match(b)) for p, _ in pieces for a, b in zip(p.lstrip(MARK), p.lstrip(MARK)[1:], strict=False))
+        self.chunk = WHOLE_CHUNK if mixed else CUT_CHUNK
         self.text = {i: p.replace(MARK, " ") for p, i in pieces}
         self.unspelt = -math.log(2.0 * n) - math.log(total)  # ln p of a byte
         code = {c: k + 1 for k, c in enumerate(sorted({c for p, _ in pieces for c in p}))}
@@ -117,7 +123,8 @@ class Vocabulary:
 
 
 class Lattices:
-    """Lattices of chunks. State s has the edges first[s] to first[s + 1]: cum (distribution function), log_q, token, to."""
+    """Lattices of chunks. State s has the edges first[s] to first[s + 1]: cum (distribution function), log_q and log_rest (ln of the
+    edge's probability and of its siblings'), token, to. Arrays grow by doubling; states and edges are counted."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
@@ -127,10 +134,21 @@ class Lattices:
         import numpy as np
 
         self.known: dict[str, int] = {}
-        self.base = np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.cum, self.log_q = np.zeros(0, np.float32), np.zeros(0)
-        self.token, self.to = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.chunks, self.states, self.edges = 0, 0, 0
+        self.base, self.first = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.cum, self.log_q, self.log_rest = np.zeros(1024, np.float32), np.zeros(1024), np.zeros(1024, np.float32)
+        self.token, self.to = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+
+    def _grow(self, name: str, used: int, new) -> None:
+        import numpy as np
+
+        old = getattr(self, name)
+        if used + len(new) > len(old):
+            wide = np.zeros(max(2 * len(old), used + len(new)), old.dtype)
+            wide[:used] = old[:used]
+            setattr(self, name, wide)
+            old = wide
+        old[used : used + len(new)] = new
 
     def of(self, texts: list[str]) -> tuple:
         """(place of each text's chunks, chunk numbers); new chunks get their lattices."""
@@ -138,7 +156,7 @@ class Lattices:
 
         if len(self.known) > MAX_CHUNKS:
             self.clear()
-        found = [CHUNK.findall(" " + text) if text else [] for text in texts]
+        found = [self.vocabulary.chunk.findall(" " + text) if text else [] for text in texts]
         new = list(set().union(*found).difference(self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
@@ -192,21 +210,21 @@ class Lattices:
         beta = np.zeros(states)
         first = np.searchsorted(state, np.arange(states + 1))
         to = state + length
-        # Backward sums, all characters at one distance from their chunk's end together.
+        # Backward sums, all characters at one distance from their chunk's end together, each relative to the next character's:
+        # every character has an edge of its own, so the exponents stay small.
         away = rest[origin]
         by_distance = np.argsort(away, kind="stable")
-        cuts = np.searchsorted(away[by_distance], np.arange(1, int(rest.max(initial=0)) + 2))
-        log_q = np.empty(len(state))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            e = by_distance[a:b]
-            s = state[e]
-            x = score[e] + beta[to[e]]
-            lead = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            top = np.maximum.reduceat(x, lead)
-            span = np.diff(np.concatenate((lead, [len(s)])))
-            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, span)), lead))
-            beta[s[lead]] = total
-            log_q[e] = x - np.repeat(total, span)
+        far_state, far_to, far_score = state[by_distance], to[by_distance], score[by_distance]
+        lead = np.flatnonzero(np.concatenate(([True], far_state[1:] != far_state[:-1])))
+        cuts = np.searchsorted(away[by_distance[lead]], np.arange(1, int(rest.max(initial=0)) + 2)).tolist()
+        lead = np.append(lead, len(far_state))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            a, b = int(lead[i]), int(lead[j])
+            x = far_score[a:b] + beta[far_to[a:b]]
+            x -= beta[far_state[a:b] + 1]
+            s = far_state[lead[i:j]]
+            beta[s] = beta[s + 1] + np.log(np.add.reduceat(np.exp(x), lead[i:j] - a))
+        log_q = np.minimum(score + beta[to] - beta[state], 0.0)
         cum = np.exp(log_q)
         own, rank = np.flatnonzero(np.diff(first)), 1  # summed state by state, so that equal chunks get equal numbers anywhere
         while len(own := own[first[own] + rank < first[own + 1]]):
@@ -214,11 +232,27 @@ class Lattices:
             rank += 1
         last = first[1:][first[1:] > first[:-1]] - 1
         cum[last] = 1.0
-        shift, edge = len(self.first) - 1, len(self.token)
-        self.base = np.concatenate((self.base, start[:-1] + np.arange(len(chunks)) + shift))
-        self.first = np.concatenate((self.first, first[1:] + edge))
-        self.cum, self.log_q = np.concatenate((self.cum, cum.astype(np.float32))), np.concatenate((self.log_q, log_q))
-        self.token, self.to = np.concatenate((self.token, token)), np.concatenate((self.to, (to + shift).astype(np.int32)))
+        with np.errstate(divide="ignore"):
+            log_rest = np.log(-np.expm1(log_q))
+        log_rest[first[state]] = np.where(np.diff(first)[state] == 1, -np.inf, log_rest[first[state]])
+        shift, edge = self.states, self.edges
+        self._grow("base", self.chunks, start[:-1] + np.arange(len(chunks)) + shift)
+        self._grow("first", shift, first + edge)
+        for name, new in (("cum", cum), ("log_q", log_q), ("log_rest", log_rest), ("token", token), ("to", to + shift)):
+            self._grow(name, edge, new)
+        self.chunks, self.states, self.edges = self.chunks + len(chunks), shift + states, edge + len(token)
+
+
+def scalar_mix(x: int) -> int:
+    """tokens.mix of one number."""
+    x &= (1 << 64) - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & ((1 << 64) - 1)
+    return x ^ (x >> 31)
+
+
+def scalar_uniform(x: int) -> float:
+    return ((scalar_mix(x) >> 11) + 0.5) * 2.0**-53
 
 
 def uniform(keys):
@@ -257,10 +291,10 @@ def walk(lattices: Lattices, state, keys):
 
 
 def below(loc, top, u):
-    """Gumbel numbers at loc, truncated to lie below top."""
+    """Gumbel numbers at loc (-inf: none), truncated to lie below top."""
     import numpy as np
 
-    return loc - np.logaddexp(loc - top, np.log(-np.log(u)))
+    return loc - np.log(np.exp(loc - top) - np.log(u))
 
 
 class Search:
@@ -270,11 +304,36 @@ class Search:
 
     def __init__(self, key: int, lo: int, chunks: int) -> None:
         self.key, self.lo, self.chunks = key, lo, chunks
-        self.found: list[tuple] = []  # (edges, log p before each edge and in total, score)
-        self.left: list = []  # a run of sibling sets of each path: [scores, from step]
+        self.found: list[tuple] = []  # (edges, ln p before each edge and in total, states, chunks of the text, score)
+        self.left: list = []  # sibling sets of each path: [scores, the step of the first]
         self.taken: dict[tuple[int, int], list[int]] = {}  # opened siblings by path and step
 
 
+def opened(s: Search, lattices: Lattices, salt: int):
+    """Open the best sibling set: (prefix of edges, their states and the opened one's, edge, chunks of the prefix, the edge's chunk, ln p, score), or None."""
+    import numpy as np
+
+    log_q, first = lattices.log_q, lattices.first
+    best, p = max(((float(scores.max()), p) for p, (scores, _) in enumerate(s.left) if len(scores)), default=(-math.inf, -1))
+    if best == -math.inf:
+        return None
+    scores, begin = s.left[p]
+    i = int(scores.argmax())
+    step = begin + i
+    path, logs, states, chunks, _ = s.found[p]
+    state = int(states[step])
+    gone = s.taken.setdefault((p, step), [int(path[step])])
+    rest = [e for e in range(int(first[state]), int(first[state + 1])) if e not in gone]
+    q = np.exp(log_q[rest])
+    u = scalar_uniform(salt + 1) * q.sum()
+    e = rest[min(int(np.searchsorted(np.cumsum(q), u)), len(rest) - 1)]
+    gone.append(e)
+    rest.remove(e)
+    before = float(logs[step])
+    scores[i] = float(below(before + math.log(float(np.exp(log_q[rest]).sum())), best, scalar_uniform(salt + 2))) if rest else -math.inf
+    return path[:step], states[: step + 1], e, chunks[:step], int(chunks[step]), before + float(log_q[e]), best
+
+
 def sample(lattices: Lattices, edges, chunks, keys, k: int) -> list[Search]:
     """k segmentations (fewer, if there are no more) of each text, and the sets left over."""
     import numpy as np
@@ -283,71 +342,54 @@ def sample(lattices: Lattices, edges, chunks, keys, k: int) -> list[Search]:
 
     base = lattices.base[chunks] if len(chunks) else np.zeros(0, np.int64)
     searches = [Search(int(key), int(a), int(b - a)) for key, a, b in zip(keys, edges[:-1], edges[1:], strict=True)]
-    log_q, first, to = lattices.log_q, lattices.first, lattices.to
+    to = lattices.to
     for r in range(k):
-        starts, seeds, plans = [], [], []
+        starts, places, plans = [], [], []
         for s in searches:
-            salt = mix(np.array([s.key ^ (r * 0x8CB92BA72F3D8DD7 & (1 << 64) - 1)], np.uint64))[0]
+            salt = scalar_mix(s.key ^ (r * 0x8CB92BA72F3D8DD7))
             if r == 0:
-                head, top, skip, prefix = None, float(-np.log(-np.log(uniform(np.array([s.key ^ 0x5DEECE66D], np.uint64))[0]))), 0, 0
+                head, chunk, lead = None, 0, ()
             else:
-                best = max(((float(scores.max()), p) for p, (scores, _) in enumerate(s.left) if len(scores)), default=(-math.inf, -1))
-                if best[0] == -math.inf:
+                head = opened(s, lattices, salt)
+                if head is None:
                     continue
-                top, p = best
-                scores, begin = s.left[p]
-                i = int(scores.argmax())
-                step = begin + i
-                path = s.found[p][0]
-                state = int(s.found[p][2][step])
-                gone = s.taken.setdefault((p, step), [int(path[step])])
-                rest = [e for e in range(int(first[state]), int(first[state + 1])) if e not in gone]
-                q = np.exp(log_q[rest])
-                u = uniform(np.array([salt + np.uint64(1)], np.uint64))[0] * q.sum()
-                e = rest[min(int(np.searchsorted(np.cumsum(q), u)), len(rest) - 1)]
-                gone.append(e)
-                rest.remove(e)
-                before = float(s.found[p][1][step])
-                if rest:
-                    loc = before + math.log(float(np.exp(log_q[rest]).sum()))
-                    scores[i] = below(loc, top, uniform(np.array([salt + np.uint64(2)], np.uint64))[0])
-                else:
-                    scores[i] = -math.inf
-                head, prefix = (path[:step], s.found[p][2][: step + 1], e, s.found[p][3][:step]), step + 1
-                skip = int(s.found[p][3][step]) + 1  # the chunk that the step is in, and so the first whole one after it
-            own = base[s.lo + skip : s.lo + s.chunks]
-            lead = to[[head[2]]] if head else np.zeros(0, np.int64)
-            starts.append(np.concatenate((lead, own)))
-            place = np.arange(skip - len(lead), s.chunks, dtype=np.uint64)
-            seeds.append(mix(place * np.uint64(0xD6E8FEB86659FD93) + salt))
-            plans.append((s, head, top, skip - len(lead), prefix, salt))
+                chunk, lead = head[4], (to[head[2]],)
+            own = base[s.lo + chunk + len(lead) : s.lo + s.chunks]
+            starts.append(np.concatenate((lead, own)).astype(np.int64) if lead else own)
+            places.append(np.arange(chunk, s.chunks, dtype=np.uint64))
+            plans.append((s, head, chunk, salt))
         if not plans:
             break
-        path, size = walk(lattices, np.concatenate(starts), np.concatenate(seeds))
-        origin = path_states(lattices, path, size, np.concatenate(starts))
-        begin = np.concatenate(([0], np.cumsum(size)))
-        at = 0
-        for (s, head, top, chunk, prefix, salt), own in zip(plans, starts, strict=True):
-            a, b = int(begin[at]), int(begin[at + len(own)])
-            new, states = path[a:b], origin[a:b]
-            in_chunk = np.repeat(np.arange(chunk, chunk + len(own)), size[at : at + len(own)])
-            at += len(own)
-            if head:
-                whole = np.concatenate((head[0], [head[2]], new))
-                states = np.concatenate((head[1], states))
-                in_chunk = np.concatenate((head[3], [chunk], in_chunk))
-            else:
-                whole = new
-            logs = np.concatenate(([0.0], np.cumsum(log_q[whole])))
-            s.found.append((whole, logs, states, in_chunk, top))
-            own_q = log_q[whole[prefix:]]
-            with np.errstate(divide="ignore"):
-                loc = logs[prefix:-1] + np.log(-np.expm1(np.minimum(own_q, 0.0)))
-            loc[first[states[prefix:] + 1] - first[states[prefix:]] < 2] = -math.inf
-            u = uniform(np.arange(len(loc), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + mix(np.array([salt ^ np.uint64(0xE7037ED1A0B428DB)], np.uint64)))
-            with np.errstate(invalid="ignore"):
-                scores = np.where(np.isneginf(loc), -math.inf, below(np.where(np.isneginf(loc), -1e6, loc), top, u))
-            s.left.append([scores, prefix])
+        count = np.array([len(x) for x in starts])
+        salts = np.array([salt for *_, salt in plans], np.uint64)
+        start = np.concatenate(starts)
+        seeds = mix(np.concatenate(places) * np.uint64(0xD6E8FEB86659FD93) + np.repeat(salts, count))
+        path, size = walk(lattices, start, seeds)
+        origin = path_states(lattices, path, size, start)
+        chunk_of = np.repeat(np.concatenate(places).astype(np.int32), size)
+        cut = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
+        tops = np.array([-math.log(-math.log(scalar_uniform(s.key ^ 0x5DEECE66D))) if head is None else head[6] for s, head, *_ in plans])
+        new = np.diff(cut)
+        log_q = lattices.log_q[path]
+        ahead = np.empty(len(path))
+        logs = []
+        for (_, head, *_), a, b in zip(plans, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            sums = np.empty(b - a + 1)
+            sums[0] = head[5] if head else 0.0
+            sums[1:] = log_q[a:b]
+            np.cumsum(sums, out=sums)
+            ahead[a:b] = sums[:-1]
+            logs.append(sums)
+        step = np.arange(len(path)) - np.repeat(cut[:-1], new)
+        u = uniform(step.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.repeat(mix(salts ^ np.uint64(0xE7037ED1A0B428DB)), new))
+        scores = below(ahead + lattices.log_rest[path], np.repeat(tops, new), u)
+        for (s, head, chunk, _), sums, top, a, b in zip(plans, logs, tops.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if head is None:
+                s.found.append((path[a:b], sums, origin[a:b], chunk_of[a:b], top))
+                s.left.append([scores[a:b], 0])
+                continue
+            s.found.append((np.concatenate((head[0], [head[2]], path[a:b])), np.concatenate((np.full(len(head[0]) + 1, np.nan), sums)), np.concatenate((head[1], origin[a:b])), np.concatenate((head[3], [chunk], chunk_of[a:b])), top))
+            s.left.append([scores[a:b], len(head[0]) + 1])
     return searches
 
 
