@@ -70,17 +70,6 @@ class Node:
         self.to_parent = np.sqrt(((self.points - centre) ** 2).sum(1))
 
 
-def best(ids, scores, k: int):
-    """Places of the k highest scores, ties to the smaller id."""
-    import numpy as np
-
-    if len(scores) > 4 * k:
-        some = np.flatnonzero(scores >= -np.partition(-scores, k - 1)[k - 1])
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
-
-
 def exact_scores(vectors, q):
     """Inner products: of doubles where these are exact, else of Python integers."""
     import numpy as np
@@ -92,7 +81,8 @@ def exact_scores(vectors, q):
 
 
 def search(root: Node, centre, vectors, ids, q, own: int, k: int, most: float, floor: float | None):
-    """Places in vectors of the k best for q, with their scores; none below `floor`, a score that k others have reached elsewhere."""
+    """Places in vectors of the k best for one query, with their scores, in whole numbers of any size; none below `floor`, a score
+    that k others have reached elsewhere."""
     import numpy as np
 
     norm = float(q @ q)
@@ -114,7 +104,7 @@ def search(root: Node, centre, vectors, ids, q, own: int, k: int, most: float, f
             if len(some):
                 scores = exact_scores(vectors[some], q)
                 place, found = np.concatenate((place, some)), np.concatenate((found, scores))
-                keep = best(ids[place], found, k)
+                keep = np.lexsort((ids[place], -found))[:k]
                 place, found = place[keep], found[keep]
                 if len(found) == k:
                     bound = min(bound, reach(float(found[-1])))
@@ -129,6 +119,67 @@ def search(root: Node, centre, vectors, ids, q, own: int, k: int, most: float, f
     return place, found
 
 
+def leaves(node: Node, to_pivot, least, bound, points, margin, out: list) -> list:
+    """Leaves that some query can reach: (leaf, each query's least distance to its vectors, and distance to its pivot), infinite where it can't."""
+    import numpy as np
+
+    if node.children is None:
+        out.append((node, least, to_pivot))
+        return out
+    low = np.abs(to_pivot[:, None] - node.to_parent[None]) - node.radius[None] - margin[:, None]
+    reach = (low <= bound[:, None]) & (least <= bound)[:, None]  # the others' distances are never computed
+    for i in np.flatnonzero(reach.any(0)).tolist():
+        some = np.flatnonzero(reach[:, i])
+        far = np.full(len(bound), np.inf)
+        far[some] = np.sqrt(((points[some] - node.points[i]) ** 2).sum(1))
+        leaves(node.children[i], far, np.maximum(far - node.radius[i] - margin, least), bound, points, margin, out)
+    return out
+
+
+def search_block(root: Node, centre, vectors, ids, queries, own, k: int, most: float, floors):
+    """search() for a block of queries at once: (query, place, score) of each one's k best. In round r every query that still can
+    gain looks into its r-th nearest leaf; a leaf serves its queries together. vectors must be in order of ids, and scores below 2^53."""
+    import numpy as np
+
+    n = len(queries)
+    norm = (queries * queries).sum(1)
+    points = np.concatenate((queries, np.zeros((n, 1))), 1)
+    margin = 1e-7 * (1 + np.sqrt(norm + most))
+    reach = lambda rows, score: np.sqrt(np.maximum(norm[rows] + most - 2 * score, 0.0)) + margin[rows]
+    bound = np.where(np.isnan(floors), np.inf, reach(slice(None), np.nan_to_num(floors)))
+    found = leaves(root, np.sqrt(((points - centre) ** 2).sum(1)), np.zeros(n), bound, points, margin, [])
+    width = max(1, int(len(ids)).bit_length())
+    none = np.iinfo(np.int64).min
+    keys = np.full((n, k), none, np.int64)  # score and place in one number: the smaller place is the greater key
+    if found:
+        low = np.stack([x for _, x, _ in found], 1)
+        order = np.argsort(low, 1, kind="stable")
+        for r in range(len(found)):
+            turn = order[:, r]
+            live = np.flatnonzero(low[np.arange(n), turn] <= bound)
+            if not len(live):
+                break
+            for leaf in np.unique(turn[live]).tolist():
+                rows = live[turn[live] == leaf]
+                node, _, to_pivot = found[leaf]
+                near = np.abs(to_pivot[rows][:, None] - node.to_parent[None]) <= (bound[rows] + margin[rows])[:, None]
+                cols = np.flatnonzero(near.any(0))
+                if not len(cols):
+                    continue
+                place = node.rows[cols]
+                scores = np.rint(queries[rows] @ vectors[place].T).astype(np.int64)
+                new = (scores << width) + ((1 << width) - 1 - place)[None]
+                new[(ids[place][None] == own[rows][:, None]) | ~near[:, cols]] = none
+                every = np.concatenate((keys[rows], new), 1)
+                keys[rows] = -np.partition(-np.maximum(every, none + 1), k - 1, 1)[:, :k]
+                last = keys[rows].min(1)
+                full = last > none + 1
+                bound[rows[full]] = np.minimum(bound[rows[full]], reach(rows[full], (last[full] >> width).astype(np.float64)))
+    query, column = np.nonzero(keys > none + 1)
+    key = keys[query, column]
+    return query, (1 << width) - 1 - (key & ((1 << width) - 1)), key >> width
+
+
 def _matrix(column):
     """The lists of an Arrow column, all of one length, as rows of doubles."""
     import numpy as np
@@ -186,8 +237,14 @@ def _found(queries: DataFrame, data: DataFrame, pivots, most: float, k: int) ->
             vectors, ids = vectors[order], ids[order]
             centre = pivots[key[0].as_py()]
             root = Node(augmented(vectors, most), np.arange(len(ids)), centre)
-            for own, q, floor in zip(left.column("query_id").to_pylist(), _matrix(left.column("q")), left.column("floor").to_pylist(), strict=True):
-                place, scores = search(root, centre, vectors, ids, q, own, k, most, floor)
+            asked, q = np.asarray(left.column("query_id")), _matrix(left.column("q"))
+            floors = np.asarray(left.column("floor").cast(pa.float64()).fill_null(math.nan))
+            largest = float(np.abs(vectors).max()) * float(np.abs(q).max()) * q.shape[1]
+            if largest < 2.0 ** (53 - max(1, len(ids).bit_length())):
+                query, place, score = search_block(root, centre, vectors, ids, q, asked, k, most, floors)
+                return pa.table({"query_id": asked[query], "vec_id": ids[place], "score": score})
+            for own, x, floor in zip(asked.tolist(), q, floors.tolist(), strict=True):
+                place, scores = search(root, centre, vectors, ids, x, own, k, most, None if math.isnan(floor) else floor)
                 out["query_id"] += [own] * len(place)
                 out["vec_id"] += ids[place].tolist()
                 out["score"] += scores.tolist()
@@ -208,7 +265,7 @@ def _of_length(rows: DataFrame, count: int, most: float, asks, k: int, max_pivot
     """Top k among `count` vectors of one length."""
     import numpy as np
 
-    want = max(1, min(max_pivots, count // (BLOCK // 4)))
+    want = max(1, min(max_pivots, count // (BLOCK // 2)))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(want).select("v").toArrow()  # max_pivots rows at most
     pivots = np.unique(augmented(_matrix(sample.column("v")), most), axis=0)
     data = cut(_assigned(rows, pivots, most))
