@@ -69,7 +69,7 @@ def lines_of(page: str) -> tuple[list[str | None], bool]:
                 stop = re.compile(rf"</{tag}(?=[\s>/])[^>]*>|\Z", re.I).search(page, at)
                 at = stop.end()
             continue
-        if skip and not (tag in ("article", "main") and not closing and skip[0] not in ("article", "main", "form", "dialog") and not hinted(attributes) and skip[0] != "div"):
+        if skip and not (tag in ("article", "main") and not closing and skip[0] in ("head", "nav", "header", "menu") and not hinted(attributes)):
             if closing and tag in skip:
                 del skip[len(skip) - 1 - skip[::-1].index(tag) :]
             elif not closing and tag not in VOID and not attributes.endswith("/"):
