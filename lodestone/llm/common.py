@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -41,10 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the process
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, as a table in the shared folder: a lost executor loses none of it, and joins know its size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)  # later queries may still read it
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
