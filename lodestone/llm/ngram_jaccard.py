@@ -8,15 +8,16 @@ more than k; so some partition differs in at most one, and two of its three seco
 subset of two is a signature. Subsets without an element are not emitted; a set for which that may hide an equal
 partition (few elements) emits its prefix in hash order too, which two linked sets always share a member of. So no link is lost.
 
-The same count says how many signatures of a band a linked pair shares at least. Pairs that share fewer are no candidates; and a set that
-must share t of them can spare t - 1: if no more than that many of its signatures are hot (in HOT sets or more, as those inside a
-passage that many documents repeat), it leaves the hot groups, for the rarest signature that a pair shares remains to both.
+The same count says how many signatures of a band a linked pair shares at least; pairs that share fewer are no candidates.
+Groups of fewer than HOT sets give all their pairs. Larger ones are mostly passages that many documents repeat: a set that must
+share t signatures leaves the (t - 1) / 2 largest of its hot groups, sizes compared alike everywhere, so that a linked pair still
+shares more than half of them.
 
 Equal sets form a class at once and only the smallest id of each class goes on. Signatures travel as packed blocks,
-are sorted in buckets of bounded size, and give stars (least member, other) first. Linked stars, verified on whole
-sets, give components; groups that still span several components then yield their cross pairs, large groups in pairs of blocks, behind
-exact lower bounds on the difference (counts of 64 hash ranges) and on shared signatures. Thus copies never meet in pairs, and no
-cross pair is skipped.
+are sorted in buckets of bounded size, and give pairs and stars (least member, other; a quarter of the hot groups is enough for these). Stars,
+verified on whole sets, give components first; hot groups that still span several components then yield their cross pairs, large groups
+in pairs of blocks. All pairs stand behind exact lower bounds on the difference (sizes, counts of hash ranges) and on shared signatures.
+Thus copies never meet in pairs, and no cross pair is skipped.
 
 Defined results: null or empty texts and texts without words have no shingles and link with nothing; a null id takes no
 part and gets a null component; rows that repeat an id give a row each and share its links; texts of any length count whole; an empty
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_batches
@@ -35,10 +36,11 @@ from .components import components
 
 # The threshold as a fraction: 75 of 100.
 NUMERATOR, DENOMINATOR = 75, 100
-SLACK = 1.15  # more first-level partitions than needed, so that few sets need their prefix too
+SLACK = 1.2  # more first-level partitions than needed, so that few sets need their prefix too
 RECORDS = 3_000_000  # packed records that a task holds before it passes them on
 BUCKET = 6_000_000  # signatures a bucket, about
 RANGES = 64
+FEW = 32  # ranges of the small counts (up to 15) that travel with the signatures
 HOT = 16  # members from which on a group counts as hot
 BLOCK = 2048  # members of a group in a block
 STAR = 4096  # members of a star checked in one run
@@ -159,7 +161,8 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         bands, seen = Bands(), set()
         found: list = []
         ids: list[int] = []
-        sure: list[tuple[int, int, int]] = []
+        sure: list[tuple[int, ...]] = []
+        few: list = []
 
         def flush():
             sig = np.concatenate(found)
@@ -170,11 +173,12 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
             raw = sig.view(np.uint8).reshape(-1, 8)[:, 3:]
             names = np.array(ids, np.int64).tobytes()
-            bounds = np.array(sure, np.uint16).tobytes()
+            bounds = np.concatenate((np.array(sure, np.uint16).view(np.uint8).reshape(len(sure), -1), np.stack(few)), 1).tobytes()
             some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
             found.clear()
             ids.clear()
             sure.clear()
+            few.clear()
             for at in range(0, len(some), 16):
                 part = some[at : at + 16]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([np.ascontiguousarray(raw[edge[b] : edge[b + 1]]).tobytes() for b in part], pa.binary()), pa.array([doc[edge[b] : edge[b + 1]].tobytes() for b in part], pa.binary()), pa.array([names] * len(part), pa.binary()), pa.array([bounds] * len(part), pa.binary())], ["bucket", "sigs", "places", "ids", "sure"])
@@ -195,7 +199,9 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                     if len(sig):
                         found.append(sig)
                         ids.append(doc)
-                        sure.append(tuple(min(x, 65535) for x in bound))
+                        sure.append((*(min(x, 65535) for x in bound), len(s) & 65535, len(s) >> 16))
+                        count = np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=FEW), 15).astype(np.uint8)
+                        few.append(count[::2] | (count[1::2] << 4))
                         held += len(sig)
                     if held >= RECORDS or len(ids) >= 65_000:
                         yield from flush()
@@ -206,10 +212,33 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(work, "bucket int, sigs binary, places binary, ids binary, sure binary")
 
 
+def pairs_within(size, limit: int):
+    """Index pairs (x < y) inside consecutive groups of these sizes, in portions of about `limit` pairs."""
+    import numpy as np
+
+    end = np.repeat(np.cumsum(size), size)
+    partners = end - np.arange(len(end)) - 1
+    slot = np.cumsum(partners) // limit
+    edge = np.concatenate((np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))), [len(slot)])).tolist() if len(slot) else [0]
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        count = partners[lo:hi]
+        x = np.repeat(np.arange(lo, hi), count)
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def near_enough(n_a, n_b, counts_a, counts_b):
+    """Whether sizes and counts of hash ranges allow a link."""
+    import numpy as np
+
+    ok = np.minimum(n_a, n_b) * DENOMINATOR >= np.maximum(n_a, n_b) * NUMERATOR
+    far = np.abs(counts_a.astype(np.int16) - counts_b).sum(1)
+    return ok & (far * (DENOMINATOR + NUMERATOR) <= (n_a + n_b) * (DENOMINATOR - NUMERATOR))
+
+
 def _grouped(packed: DataFrame) -> DataFrame:
-    """Of each bucket and kind: its stars (a, b) with the number of groups behind them, of those of two members (pairs), and that needed;
-    and its groups of three or more members, equal ones once, with how many they are (times) and the members' bounds."""
-    schema = "a long, b long, kind int, times int, pairs int, sure_a int, sure_b int, gid long, members array<struct<doc:long,band:int,sure:int>>"
+    """Of each bucket and kind: plausible pairs (a, b) of groups below HOT with the number of groups that they share (times) and are
+    to share (need); stars (star) of hot groups likewise; and the hot groups, equal ones once, with how many they are and their members' bounds."""
+    schema = "a long, b long, kind int, star boolean, times int, need int, gid long, members array<struct<doc:long,sure:int>>"
 
     def work(table):
         import numpy as np
@@ -217,49 +246,71 @@ def _grouped(packed: DataFrame) -> DataFrame:
 
         from .tokens import mix
 
-        sig, doc, sure = [], [], []
+        sig, ref, ids, facts, held = [], [], [], [], 0
         for s, p, i, t in zip(*(table.column(c).to_pylist() for c in ("sigs", "places", "ids", "sure")), strict=True):
             raw = np.zeros((len(s) // 5, 8), np.uint8)
             raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
-            place = np.frombuffer(p, np.uint16)
             sig.append(raw.view(np.uint64).ravel())
-            doc.append(np.frombuffer(i, np.int64)[place])
-            sure.append(np.frombuffer(t, np.uint16).reshape(-1, 3)[place])
-        sig, doc, sure = np.concatenate(sig), np.concatenate(doc), np.concatenate(sure)
+            ref.append(np.frombuffer(p, np.uint16).astype(np.uint32) + np.uint32(held))
+            ids.append(np.frombuffer(i, np.int64))
+            facts.append(np.frombuffer(t, np.uint8).reshape(len(ids[-1]), -1))
+            held += len(ids[-1])
+        sig, ref, ids, facts = np.concatenate(sig), np.concatenate(ref), np.concatenate(ids), np.concatenate(facts)
         order = np.argsort(sig)
-        same = sig[order][1:] == sig[order][:-1]
-        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        sig, doc, sure = sig[order], doc[order], sure[order]
-        order = np.lexsort((doc, sig))
-        sig, doc, sure = sig[order], doc[order], sure[order]
+        sig = sig[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        sig, ref = sig[shared], ref[order[shared]].astype(np.int64)
+        del order, same
+        names, name = np.unique(ids, return_inverse=True)
+        order = np.lexsort((name[ref], sig))
+        sig, ref = sig[order], ref[order]
         if len(sig):
-            once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])))
-            sig, doc, sure = sig[once], doc[once], sure[once]
+            once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (name[ref][1:] != name[ref][:-1])))
+            sig, ref = sig[once], ref[once]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((first, [len(sig)])))
-        head = np.repeat(first, size)
-        names, place = np.unique(doc, return_inverse=True)
-        star = np.flatnonzero(head != np.arange(len(doc)))
         kind = (sig & np.uint64(3)).astype(np.int64)
-        bound = sure_of(sure, kind)
-        code = (place[head[star]] * len(names) + place[star]) * 4 + kind[star]
-        code, lead, where, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        pairs = np.bincount(where, weights=np.repeat(size, size)[star] == 2, minlength=len(code)) if len(code) else np.zeros(0)
-        lead = star[lead]
-        total = np.add.reduceat(mix(doc.view(np.uint64) * np.uint64(4) + kind.astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
-        large = np.flatnonzero(size >= 3)
+        bounds = np.ascontiguousarray(facts[:, :10]).view(np.uint16).astype(np.int64)
+        sure = sure_of(bounds[ref], kind) if len(ref) else np.zeros(0, np.int64)
+        n = (bounds[:, 3] + (bounds[:, 4] << 16))[ref]
+        few = np.stack((facts[:, 10:] & 15, facts[:, 10:] >> 4), 2).reshape(len(facts), FEW)
+
+        def counted(x, y):
+            """Distinct plausible pairs of rows x, y: (a, b, kind, times, need)."""
+            ok = near_enough(n[x], n[y], few[ref[x]], few[ref[y]])
+            x, y = x[ok], y[ok]
+            code = (name[ref[x]] * len(names) + name[ref[y]]) * 4 + kind[x]
+            code, lead, times = np.unique(code, return_index=True, return_counts=True)
+            return code, times, np.maximum(np.maximum(sure[x], sure[y]), 1)[lead]
+
+        def joined(parts):
+            code, times, need = (np.concatenate(c) if parts else np.zeros(0, np.int64) for c in (list(zip(*parts, strict=True)) or [(), (), ()]))
+            code, lead, where = np.unique(code, return_index=True, return_inverse=True)
+            return code, np.bincount(where, weights=times, minlength=len(code)).astype(np.int64) if len(code) else times, need[lead] if len(code) else need
+
+        small = np.flatnonzero((size >= 2) & (size < HOT))
+        rows = np.repeat(first[small] - np.concatenate(([0], np.cumsum(size[small])[:-1])).astype(np.int64), size[small]) + np.arange(int(size[small].sum())) if len(small) else np.zeros(0, np.int64)
+        pairs = joined([counted(rows[x], rows[y]) for x, y in pairs_within(size[small], 1_000_000)])
+        large = np.flatnonzero(size >= HOT)
+        led = large[(mix(sig[first[large]]) & np.uint64(3)) == 0]
+        star = np.repeat(first[led] - np.concatenate(([0], np.cumsum(size[led])[:-1])).astype(np.int64), size[led]) + np.arange(int(size[led].sum())) if len(led) else np.zeros(0, np.int64)
+        head = np.repeat(first[led], size[led])
+        stars = joined([counted(head[head != star], star[head != star])])
+        total = np.add.reduceat(mix(ids[ref].view(np.uint64) * np.uint64(4) + kind.astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
         gid, pick, count = np.unique(total[large], return_index=True, return_counts=True)
         large = large[pick]
         span = size[large]
-        rows = np.repeat(first[large] - np.concatenate(([0], np.cumsum(span)[:-1])).astype(np.int64), span) + np.arange(int(span.sum()))
-        fields = [pa.array(x) for x in (doc[rows], sure[rows, 0].astype(np.int32), bound[rows].astype(np.int32))]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(span))), pa.int32()), pa.StructArray.from_arrays(fields, ["doc", "band", "sure"]))
+        rows = np.repeat(first[large] - np.concatenate(([0], np.cumsum(span)[:-1])).astype(np.int64), span) + np.arange(int(span.sum())) if len(large) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(span))), pa.int32()), pa.StructArray.from_arrays([pa.array(ids[ref[rows]]), pa.array(sure[rows].astype(np.int32))], ["doc", "sure"]))
         bucket = np.uint64(table.column("bucket")[0].as_py())
-        n, m = len(lead), len(large)
-        both = lambda x, y, t: pa.concat_arrays([pa.nulls(n, t) if x is None else pa.array(x.astype(t.to_pandas_dtype())), pa.nulls(m, t) if y is None else pa.array(y.astype(t.to_pandas_dtype()))])
-        gid = mix(gid + mix(np.array([bucket]))).view(np.int64)
-        cols = [both(doc[head[lead]], None, pa.int64()), both(doc[lead], None, pa.int64()), both(kind[lead], kind[first[large]], pa.int32()), both(times, count, pa.int32()), both(pairs, None, pa.int32()), both(bound[head[lead]], None, pa.int32()), both(bound[lead], None, pa.int32()), both(None, gid, pa.int64()), pa.concat_arrays([pa.nulls(n, lists.type), lists])]
-        return pa.table(cols, names=["a", "b", "kind", "times", "pairs", "sure_a", "sure_b", "gid", "members"])
+        code = np.concatenate((pairs[0], stars[0]))
+        p, m = len(code), len(large)
+        column = lambda x, t: pa.concat_arrays([pa.array(x.astype(t.to_pandas_dtype())), pa.nulls(m, t)])
+        cols = [column(names[code // 4 // max(1, len(names))], pa.int64()), column(names[code // 4 % max(1, len(names))], pa.int64()), pa.array(np.concatenate((code % 4, kind[first[large]])).astype(np.int32)), column(np.arange(p) >= len(pairs[0]), pa.bool_())]
+        cols += [pa.array(np.concatenate((pairs[1], stars[1], count)).astype(np.int32)), column(np.concatenate((pairs[2], stars[2])), pa.int32())]
+        cols += [pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(mix(gid + mix(np.array([bucket]))).view(np.int64))]), pa.concat_arrays([pa.nulls(p, lists.type), lists])]
+        return pa.table(cols, names=["a", "b", "kind", "star", "times", "need", "gid", "members"])
 
     return packed.groupBy("bucket").applyInArrow(work, schema)
 
@@ -271,8 +322,8 @@ def _representatives(pairs: DataFrame, known: DataFrame, *more: str) -> DataFram
 
 
 def _stars(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b), a < b, once each: the stars whose least member leads as many of their groups as a link needs. The first to be verified."""
-    summed = groups.filter("members is null").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max(F.greatest("sure_a", "sure_b", F.lit(1))).alias("need")).filter("times >= need")
+    """(a, b), a < b, once each: the stars that seem to share as many groups as a link needs. They are only the first pairs to be verified."""
+    summed = groups.filter("star").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times * 4 >= need")
     found = _representatives(summed.select("a", "b").distinct(), known)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -323,25 +374,18 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
         import pyarrow as pa
 
         def pairs_of(t):
-            cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "component", "n", "times", "kind", "sure", "spared")}
+            cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "component", "n", "times", "kind", "sure")}
             ranges = np.frombuffer(b"".join(t.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
             key = np.stack([np.asarray(t.column("gid")), cols["i"].astype(np.int64), cols["j"].astype(np.int64)])
-            edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))))
-            end = np.repeat(np.concatenate((edge[1:], [key.shape[1]])), np.diff(np.concatenate((edge, [key.shape[1]]))))
-            partners = end - np.arange(len(end)) - 1
-            slot = np.cumsum(partners) // 500_000
-            for lo, hi in zip(np.searchsorted(slot, np.unique(slot)).tolist(), np.searchsorted(slot, np.unique(slot), "right").tolist(), strict=True):
-                count = partners[lo:hi]
-                x = np.repeat(np.arange(lo, hi), count)
-                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
-                c = cols
+            edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0), [True])))
+            c = cols
+            for x, y in pairs_within(np.diff(edge), 500_000):
                 ok = (c["component"][x] != c["component"][y]) & ((c["i"][x] == c["j"][x]) | (c["block"][x] != c["block"][y]))
-                ok &= np.minimum(c["n"][x], c["n"][y]) * DENOMINATOR >= np.maximum(c["n"][x], c["n"][y]) * NUMERATOR
                 x, y = x[ok], y[ok]
-                far = np.concatenate([np.abs(ranges[x[k : k + 100_000]] - ranges[y[k : k + 100_000]]).sum(1) for k in range(0, len(x), 100_000)] or [np.zeros(0)])
-                ok = far * (DENOMINATOR + NUMERATOR) <= (c["n"][x] + c["n"][y]) * (DENOMINATOR - NUMERATOR)
+                part = [near_enough(c["n"][x[k : k + 100_000]], c["n"][y[k : k + 100_000]], ranges[x[k : k + 100_000]], ranges[y[k : k + 100_000]]) for k in range(0, len(x), 100_000)]
+                ok = np.concatenate(part) if part else np.zeros(0, bool)
                 x, y = x[ok], y[ok]
-                need = left_needed(c["sure"][x], c["sure"][y], c["spared"][x], c["spared"][y])
+                need = np.maximum(np.maximum(c["sure"][x], c["sure"][y]), 1)
                 a, b = np.minimum(c["doc"][x], c["doc"][y]), np.maximum(c["doc"][x], c["doc"][y])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c["kind"][x]), pa.array(c["times"][x].astype(np.int64)), pa.array(need.astype(np.int32))], ["a", "b", "kind", "times", "need"])
 
@@ -362,36 +406,28 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
 
     rep = known.select(F.col("doc_id").alias("doc"), "rep").distinct()
     members = groups.filter("members is not null").select("gid", "kind", "times", F.size("members").alias("size"), F.inline("members")).join(rep, "doc")
-    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "times", "size", "band", "sure")))
-    hot = members.filter(F.col("size") >= HOT).groupBy("doc", "kind").agg(F.sum("times").alias("spared"), F.max("sure").alias("sure")).filter("kind < 2 AND spared < sure")
-    hot = cut(hot.select("doc", "kind", F.col("spared").cast("int").alias("spared")))
-    members = members.join(hot, ["doc", "kind"], "left").filter(F.col("spared").isNull() | (F.col("size") < HOT)).withColumn("spared", F.coalesce("spared", F.lit(0)))
+    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "times", "size", "sure")))
+    largest_first = Window.partitionBy("doc", "kind").orderBy(F.desc("size"), "gid")
+    members = cut(members.withColumn("upto", F.sum("times").over(largest_first)).withColumn("leaves", (F.col("kind") < 2) & (F.col("upto") * 2 <= F.col("sure") - 1)))
+    spared = cut(members.filter("leaves").groupBy("doc", "kind").agg(F.max("upto").alias("spared")))
+    members = members.filter("NOT leaves")
     placed = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     wide = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x != y").select("gid", "blocks")
     facts = known.filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "n", "ranges").dropDuplicates(["doc"])
     rows = placed.join(wide, "gid").join(facts, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "kind", "times", "sure", "spared")
+    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "kind", "times", "sure")
     found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(work, "a long, b long, kind int, times long, need int")
 
+    summed = groups.filter("NOT star").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    pairs = _representatives(summed, known, "kind", "times", "need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", "times", "need")
+    # Copies that several tasks have sent repeat a pair, each time with all groups that it shares.
+    pairs = pairs.groupBy("a", "b", "kind").agg(F.max("times").alias("times"), F.max("need").alias("need"))
     node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    spare = lambda x: hot.select(F.col("doc").alias(x), "kind", F.col("spared").alias(f"s{x}"))
-    summed = groups.filter("pairs > 0").groupBy("a", "b", "kind").agg(F.sum("pairs").alias("times"), F.max("sure_a").alias("sure_a"), F.max("sure_b").alias("sure_b"))
-    twos = _representatives(summed, known, "kind", "times", "sure_a", "sure_b").join(node("a"), "a", "left").join(node("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    twos = twos.join(spare("a"), ["a", "kind"], "left").join(spare("b"), ["b", "kind"], "left")
-    none = F.least(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0)))
-    spared = F.when(none > 0, none).otherwise(F.coalesce("sa", "sb", F.lit(0)))
-    need = F.greatest(F.greatest("sure_a", "sure_b") - spared, F.lit(1)).cast("int")
-    twos = twos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", F.col("times").cast("long").alias("times"), need.alias("need"))
-    return found.unionByName(twos).groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b").distinct()
-
-
-def left_needed(sure_a, sure_b, spared_a, spared_b):
-    """How many groups a linked pair shares at least, when these many hot ones of each may be gone (0: none is)."""
-    import numpy as np
-
-    lost = np.where((spared_a > 0) & (spared_b > 0), np.minimum(spared_a, spared_b), np.maximum(spared_a, spared_b))
-    return np.maximum(np.maximum(sure_a, sure_b) - lost, 1)
+    spare = lambda x: spared.select(F.col("doc").alias(x), "kind", F.col("spared").alias(f"s{x}"))
+    every = found.unionByName(pairs).groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    every = every.join(spare("a"), ["a", "kind"], "left").join(spare("b"), ["b", "kind"], "left").filter(F.col("times") >= F.col("need") - F.greatest(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0))))
+    return every.select("a", "b").distinct().join(node("a"), "a", "left").join(node("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
