@@ -122,9 +122,22 @@ class Vocabulary:
         return out
 
 
+class Numbers(dict):
+    """Numbers for keys in the order in which they are first asked for; new ones are listed."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class Lattices:
     """Lattices of chunks. State s has the edges first[s] to first[s + 1]: cum (distribution function), log_q and log_rest (ln of the
-    edge's probability and of its siblings'), token, to. Arrays grow by doubling; states and edges are counted."""
+    edge's probability and of its siblings'), token, to (-1 at the chunk's end). Arrays grow by doubling; states and edges are counted."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
@@ -133,9 +146,9 @@ class Lattices:
     def clear(self) -> None:
         import numpy as np
 
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.chunks, self.states, self.edges = 0, 0, 0
-        self.base, self.first = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.base, self.first = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.cum, self.log_q, self.log_rest = np.zeros(1024, np.float32), np.zeros(1024), np.zeros(1024, np.float32)
         self.token, self.to = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
 
@@ -157,11 +170,10 @@ class Lattices:
         if len(self.known) > MAX_CHUNKS:
             self.clear()
         found = [self.vocabulary.chunk.findall(" " + text) if text else [] for text in texts]
-        new = list(set().union(*found).difference(self.known))
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self._add(new)
-        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64)
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+        if self.known.new:
+            self._add(self.known.new)
+            self.known.new = []
         return np.concatenate(([0], np.cumsum([len(x) for x in found]))), numbers
 
     def _add(self, chunks: list[str]) -> None:
@@ -238,7 +250,7 @@ class Lattices:
         shift, edge = self.states, self.edges
         self._grow("base", self.chunks, start[:-1] + np.arange(len(chunks)) + shift)
         self._grow("first", shift, first + edge)
-        for name, new in (("cum", cum), ("log_q", log_q), ("log_rest", log_rest), ("token", token), ("to", to + shift)):
+        for name, new in (("cum", cum), ("log_q", log_q), ("log_rest", log_rest), ("token", token), ("to", np.where(length == rest[origin], -1, to + shift))):
             self._grow(name, edge, new)
         self.chunks, self.states, self.edges = self.chunks + len(chunks), shift + states, edge + len(token)
 
@@ -256,33 +268,43 @@ def scalar_uniform(x: int) -> float:
 
 
 def uniform(keys):
-    """Numbers in (0, 1) from 64-bit keys."""
+    """Numbers in (0, 1) from 64-bit keys: tokens.mix, in place on a copy."""
     import numpy as np
 
-    from .tokens import mix
-
-    return ((mix(keys) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x = keys >> np.uint64(30)
+    x ^= keys
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def walk(lattices: Lattices, state, keys):
-    """Draws paths from the states on: (edges of all paths in order, how many each has). keys seed each path's numbers."""
+    """Draws paths from the states (-1: none) on: (edges of all paths in order, how many each has). keys seed each path's numbers."""
     import numpy as np
 
-    live = np.flatnonzero(lattices.first[state] < lattices.first[state + 1])
+    first, cum, to = lattices.first, lattices.cum, lattices.to
+    live = np.flatnonzero(state >= 0)
     now, key = state[live], keys[live]
     steps, size = [], np.zeros(len(state), np.int64)
     while len(live):
         u = uniform(key)
-        e = lattices.first[now].copy()
-        late = np.flatnonzero(lattices.cum[e] < u)
+        e = first[now]
+        late = np.flatnonzero(cum[e] < u)
         while len(late):
             e[late] += 1
-            late = late[lattices.cum[e[late]] < u[late]]
+            late = late[cum[e[late]] < u[late]]
         steps.append((live, e))
         size[live] += 1
-        now = lattices.to[e]
-        on = lattices.first[now] < lattices.first[now + 1]
-        live, now, key = live[on], now[on], key[on] + np.uint64(0x9E3779B97F4A7C15)
+        now = to[e]
+        on = np.flatnonzero(now >= 0)
+        live, now, key = live[on], now[on], key[on]
+        key += np.uint64(0x9E3779B97F4A7C15)
     begin = np.concatenate(([0], np.cumsum(size)))
     out = np.empty(int(begin[-1]), np.int64)
     for step, (path, e) in enumerate(steps):
