@@ -58,7 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(batch, column: int, limit: int = 4 << 20):
+def text_batches(batch, column: int, limit: int = 1 << 20):
     """Split an Arrow batch into slices whose texts hold about `limit` bytes (one text at least)."""
     import numpy as np
     import pyarrow.compute as pc

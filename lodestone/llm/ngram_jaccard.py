@@ -37,8 +37,8 @@ from .components import components
 # The threshold as a fraction: 75 of 100.
 NUMERATOR, DENOMINATOR = 75, 100
 SLACK = 1.2  # more first-level partitions than needed, so that few sets need their prefix too
-RECORDS = 3_000_000  # packed records that a task holds before it passes them on
-BUCKET = 6_000_000  # signatures a bucket, about
+RECORDS = 2_000_000  # packed records that a task holds before it passes them on
+BUCKET = 4_000_000  # signatures a bucket, about
 RANGES = 64
 FEW = 32  # ranges of the small counts (up to 15) that travel with the signatures
 HOT = 16  # members from which on a group counts as hot

@@ -39,7 +39,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 # Chunks, where no piece goes on from a Latin letter to another character or back, and where one does.
 CUT_CHUNK = re.compile(f" *[{LATIN}]+| *[^ \n{MARK}{LATIN}]+| +|[\n{MARK}]")
 WHOLE_CHUNK = re.compile(f" *[^ \n{MARK}]+| +|[\n{MARK}]")
-MAX_CHUNKS = 160_000  # kept lattices of a task, before it starts anew
+MAX_CHUNKS = 60_000  # kept lattices of a task, before it starts anew
 
 
 class Vocabulary:
@@ -474,7 +474,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         lattices = Lattices(v)
         names = ["doc_id", "rank", "ids", "n_pieces", "log_p", "perturbed", "inclusion"]
         for whole in batches:
-            for batch in text_batches(whole.filter(pc.is_valid(whole.column(1))), 1, 1 << 20):
+            for batch in text_batches(whole.filter(pc.is_valid(whole.column(1))), 1, 1 << 19):
                 ids = np.asarray(pc.fill_null(batch.column(0), 0)).astype(np.int64)
                 edges, chunks = lattices.of(batch.column(1).to_pylist())
                 keys = mix(ids.view(np.uint64) + mix(np.array([seed], np.uint64)))

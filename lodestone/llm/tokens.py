@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ROOT^i and ROOT^-i for i below n."""
     if len(_powers[0]) < n:
-        size = 1 << max(22, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         for k, root in enumerate((ROOT, pow(ROOT, -1, 1 << 64))):
             steps = np.full(size, root, np.uint64)
             steps[0] = 1
