@@ -452,3 +452,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     final = component.join(joined, "component", "full").select(F.coalesce("node", "component").alias("rep"), F.coalesce("whole", "component").alias("c"))
     final = final.unionByName(joined.select(F.col("component").alias("rep"), F.col("whole").alias("c"))).groupBy("rep").agg(F.min("c").alias("c"))
     return full.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("c", "rep")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS k FROM s),
+u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT e.y, r.c FROM r JOIN e ON r.d = e.x),
+c AS (SELECT d, min(c) AS component_id FROM r GROUP BY d)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CASE WHEN n.n = 0 THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY k) END AS class_id, component_id FROM n JOIN c ON c.d = n.doc_id"""

@@ -49,4 +49,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_exact_topk_search, op3_ngram_jaccard_join, op4_html_extraction, op5_sentence_pieces, op6_quality_rules, op7_substring_dedup, op8_url_filters, op9_quality_classifier, op10_secret_scans)}
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.oracle(), "op2_exact_topk_search": exact_topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.oracle(), "op2_exact_topk_search": exact_topk.ORACLE, "op3_ngram_jaccard_join": ngram_jaccard.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE}

@@ -255,3 +255,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return _judged(docs.join(removals(docs), "doc_id", "left").select("doc_id", "text", "whole", "places"))
+
+
+ORACLE = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM w WHERE len(ws) >= {WINDOW}),
+k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS f FROM v),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM k WHERE f < doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+h AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM x ANTI JOIN g USING (doc_id, j) GROUP BY x.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)"""

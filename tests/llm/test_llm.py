@@ -559,7 +559,7 @@ def test_redact(spark):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    base = prose(1, 200)
+    base = prose(1, 150)
     rows = [(0, base, "en", "src1", 0), (1, base, "en", "src2", 0), (2, edited(base, 1, 3), "en", "src0", 0), (3, "short", "en", "src0", 0), (4, prose(7, 150) + " token = deadbeefdeadbeefdeadbeef01", "en", None, 0), (5, "w### " * 90, "en", "src0", 0), (6, None, None, None, None)]
     rows += [(10 + i, prose(50 + i, 120), "en", f"src{i % 6}", 0) for i in range(40)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
