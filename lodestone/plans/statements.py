@@ -145,6 +145,16 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(store.latest("latest"))
 
 
+def window_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _session(spark, sf_dir, customer=CUSTOMER)
+    return s.sql("SELECT c_custkey, ROW_NUMBER() OVER o AS rn, LAG(c_custkey) OVER (w ORDER BY c_custkey DESC) AS above FROM customer WINDOW w AS (PARTITION BY c_nationkey), o AS (w ORDER BY c_acctbal, c_custkey)")
+
+
+def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _session(spark, sf_dir, nation=NATION)
+    return s.sql("SELECT n.n_nationkey, c.column_name FROM nation n JOIN information_schema.columns c ON n.n_regionkey = c.ordinal_position")
+
+
 def infoschema_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir, nation=NATION)
     return s.sql("SELECT table_name, column_name, ordinal_position, data_type FROM information_schema.columns")
@@ -156,9 +166,11 @@ def digest_visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.max("h").alias("high"), F.min("h").alias("low"))
 
 
-QUERIES = {f.__name__: f for f in (dml_insert_returning, dml_insert, dml_update_add, dml_update_returning, dml_delete, dml_truncate, snapshot_as_of, transaction_overlay, constraint_fk, constraint_unique, constraint_check, view_over_view, matview_refresh, prepared_param, cursor_page, copy_roundtrip, copy_csv_roundtrip, stream_upsert, infoschema_columns, digest_visible_rows)}
+QUERIES = {f.__name__: f for f in (dml_insert_returning, dml_insert, dml_update_add, dml_update_returning, dml_delete, dml_truncate, snapshot_as_of, transaction_overlay, constraint_fk, constraint_unique, constraint_check, view_over_view, matview_refresh, prepared_param, cursor_page, copy_roundtrip, copy_csv_roundtrip, stream_upsert, window_inherited, catalog_join, infoschema_columns, digest_visible_rows)}
 BY_REGION = "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey"
 ORACLES = {
+    "window_inherited": "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_acctbal AS DECIMAL(12,2)) NULLS LAST, c_custkey) AS BIGINT) AS rn, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS above FROM customer",
+    "catalog_join": "SELECT n_nationkey, c.column_name FROM nation JOIN (VALUES (1, 'n_nationkey'), (2, 'n_name'), (3, 'n_regionkey')) c(i, column_name) ON n_regionkey = c.i",
     "dml_insert_returning": "SELECT CAST(100 AS INT) AS n_nationkey, 'X' AS n_name, CAST(NULL AS INT) AS n_regionkey UNION ALL SELECT 101, NULL, NULL",
     "dml_insert": "SELECT * FROM nation UNION ALL SELECT 100, 'it''s', 7",
     "dml_update_add": "SELECT c_custkey, CASE WHEN hit THEN 'changed' ELSE c_name END AS c_name, c_nationkey, CAST(c_acctbal + CASE WHEN hit THEN 10.50 ELSE 0 END AS DECIMAL(12,2)) AS c_acctbal FROM (SELECT " + COLS + ", c_nationkey = 3 AND c_acctbal < 5000 AS hit FROM customer)",

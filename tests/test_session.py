@@ -200,3 +200,9 @@ def test_parse_refuses(text, kind, state):
 def test_types_refused(kind):
     with pytest.raises(DataError):
         sql_type(kind)
+
+
+def test_named_windows_and_ranks(session):
+    df = session.sql("SELECT id, RANK() OVER w2, LAG(id) OVER (w ORDER BY id) AS before FROM acct WINDOW w AS (PARTITION BY bal >= 0), w2 AS (w ORDER BY bal DESC) ORDER BY id LIMIT 2")
+    assert df.dtypes[1] == ("rank", "bigint")
+    assert rows(df) == [(1, 1, None), (2, 3, 1)]
