@@ -10,8 +10,8 @@ partition (few elements) emits its prefix in hash order too, which two linked se
 
 The same count says how many signatures of a band a linked pair shares at least; pairs that share fewer are no candidates.
 Groups of fewer than HOT sets give all their pairs. Larger ones are mostly passages that many documents repeat: a set that must
-share t signatures leaves the (t - 1) / 2 largest of its hot groups, sizes compared alike everywhere, so that a linked pair still
-shares more than half of them.
+share t signatures leaves the 2 (t - 1) / 3 largest of its hot groups, sizes compared alike everywhere, so that a linked pair still
+shares more than a third of t.
 
 Equal sets form a class at once and only the smallest id of each class goes on. Signatures travel as packed blocks,
 are sorted in buckets of bounded size, and give pairs and stars (least member, other; a quarter of the hot groups is enough for these). Stars,
@@ -36,7 +36,7 @@ from .components import components
 
 # The threshold as a fraction: 75 of 100.
 NUMERATOR, DENOMINATOR = 75, 100
-SLACK = 1.2  # more first-level partitions than needed, so that few sets need their prefix too
+SLACK = 1.35  # more first-level partitions than needed, so that few sets need their prefix too
 RECORDS = 2_000_000  # packed records that a task holds before it passes them on
 BUCKET = 4_000_000  # signatures a bucket, about
 RANGES = 64
@@ -408,7 +408,7 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
     members = groups.filter("members is not null").select("gid", "kind", "times", F.size("members").alias("size"), F.inline("members")).join(rep, "doc")
     members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "times", "size", "sure")))
     largest_first = Window.partitionBy("doc", "kind").orderBy(F.desc("size"), "gid")
-    members = cut(members.withColumn("upto", F.sum("times").over(largest_first)).withColumn("leaves", (F.col("kind") < 2) & (F.col("upto") * 2 <= F.col("sure") - 1)))
+    members = cut(members.withColumn("upto", F.sum("times").over(largest_first)).withColumn("leaves", (F.col("kind") < 2) & (F.col("upto") * 3 <= (F.col("sure") - 1) * 2)))
     spared = cut(members.filter("leaves").groupBy("doc", "kind").agg(F.max("upto").alias("spared")))
     members = members.filter("NOT leaves")
     placed = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -425,7 +425,7 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
     pairs = pairs.groupBy("a", "b", "kind").agg(F.max("times").alias("times"), F.max("need").alias("need"))
     node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     spare = lambda x: spared.select(F.col("doc").alias(x), "kind", F.col("spared").alias(f"s{x}"))
-    every = found.unionByName(pairs).groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    every = found.unionByName(pairs).groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times * 3 > need")  # the least that sparing leaves
     every = every.join(spare("a"), ["a", "kind"], "left").join(spare("b"), ["b", "kind"], "left").filter(F.col("times") >= F.col("need") - F.greatest(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0))))
     return every.select("a", "b").distinct().join(node("a"), "a", "left").join(node("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
