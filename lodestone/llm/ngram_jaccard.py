@@ -9,13 +9,13 @@ subset of two is a signature. Subsets without an element are not emitted; a set
 partition (few elements) emits its prefix in hash order too, which two linked sets always share a member of. So no link is lost.
 
 The same count says how many signatures of a band a linked pair shares at least; pairs that share fewer are no candidates.
-Groups of fewer than HOT sets give all their pairs. Larger ones are mostly passages that many documents repeat: a set that must
+Groups of fewer than HOT sets keep the members that have a plausible partner. Larger ones are mostly passages that many documents repeat: a set that must
 share t signatures leaves the 2 (t - 1) / 3 largest of its hot groups, sizes compared alike everywhere, so that a linked pair still
 shares more than a third of t.
 
 Equal sets form a class at once and only the smallest id of each class goes on. Signatures travel as packed blocks,
-are sorted in buckets of bounded size, and give pairs and stars (least member, other; a quarter of the hot groups is enough for these). Stars,
-verified on whole sets, give components first; hot groups that still span several components then yield their cross pairs, large groups
+are sorted in buckets of bounded size, and give groups and stars (least member, other; a quarter of the hot groups is enough for these). Stars,
+verified on whole sets, give components first; groups that still span several components then yield their cross pairs, large groups
 in pairs of blocks. All pairs stand behind exact lower bounds on the difference (sizes, counts of hash ranges) and on shared signatures.
 Thus copies never meet in pairs, and no cross pair is skipped.
 
@@ -36,10 +36,10 @@ from .components import components
 
 # The threshold as a fraction: 75 of 100.
 NUMERATOR, DENOMINATOR = 75, 100
-SLACK = 1.35  # more first-level partitions than needed, so that few sets need their prefix too
+SLACK = 1.25  # more first-level partitions than needed, so that few sets need their prefix too
 RECORDS = 2_000_000  # packed records that a task holds before it passes them on
 BUCKET = 4_000_000  # signatures a bucket, about
-RANGES = 64
+RANGES = 256  # ranges whose counts (up to 15) bound the difference of two sets
 FEW = 32  # ranges of the small counts (up to 15) that travel with the signatures
 HOT = 16  # members from which on a group counts as hot
 BLOCK = 2048  # members of a group in a block
@@ -129,6 +129,22 @@ def sure_of(bounds, kind):
     return np.where(kind == 2, 1, np.where(bounds[:, 0] % 2 == kind, bounds[:, 1], bounds[:, 2])).astype(np.int64)
 
 
+def packed_counts(items, ranges: int):
+    """Counts of the set's members in equal ranges of hashes, at most 15, two a byte."""
+    import numpy as np
+
+    shift = np.uint64(64 - ranges.bit_length() + 1)
+    count = np.minimum(np.bincount((items >> shift).astype(np.int64), minlength=ranges), 15).astype(np.uint8)
+    return count[::2] | (count[1::2] << 4)
+
+
+def unpacked_counts(packed):
+    """Rows of counts from rows of packed ones."""
+    import numpy as np
+
+    return np.stack((packed & 15, packed >> 4), 2).reshape(len(packed), -1)
+
+
 def _described(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set (h1, h2), and the counts of its hash ranges."""
 
@@ -143,7 +159,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                 sets = shingle_sets(batch.column(1), n)
                 h1 = [int(mix(s).sum().view(np.int64)) for s in sets]
                 h2 = [int(mix(s ^ np.uint64(0x9E6C63D0876A9A99)).sum().view(np.int64)) for s in sets]
-                ranges = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() for s in sets]
+                ranges = [packed_counts(s, RANGES).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ranges, pa.binary())], ["doc_id", "n", "h1", "h2", "ranges"])
 
     return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, ranges binary")
@@ -200,8 +216,7 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                         found.append(sig)
                         ids.append(doc)
                         sure.append((*(min(x, 65535) for x in bound), len(s) & 65535, len(s) >> 16))
-                        count = np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=FEW), 15).astype(np.uint8)
-                        few.append(count[::2] | (count[1::2] << 4))
+                        few.append(packed_counts(s, FEW))
                         held += len(sig)
                     if held >= RECORDS or len(ids) >= 65_000:
                         yield from flush()
@@ -236,9 +251,9 @@ def near_enough(n_a, n_b, counts_a, counts_b):
 
 
 def _grouped(packed: DataFrame) -> DataFrame:
-    """Of each bucket and kind: plausible pairs (a, b) of groups below HOT with the number of groups that they share (times) and are
-    to share (need); stars (star) of hot groups likewise; and the hot groups, equal ones once, with how many they are and their members' bounds."""
-    schema = "a long, b long, kind int, star boolean, times int, need int, gid long, members array<struct<doc:long,sure:int>>"
+    """Of each bucket and kind: plausible stars (a, b) of hot groups with the number of groups behind them (times) and that needed; and
+    all groups, equal ones once, with how many they are and their members' bounds. Groups below HOT keep the members with a plausible partner."""
+    schema = "a long, b long, kind int, hot boolean, times int, need int, gid long, members array<struct<doc:long,sure:int>>"
 
     def work(table):
         import numpy as np
@@ -274,7 +289,7 @@ def _grouped(packed: DataFrame) -> DataFrame:
         bounds = np.ascontiguousarray(facts[:, :10]).view(np.uint16).astype(np.int64)
         sure = sure_of(bounds[ref], kind) if len(ref) else np.zeros(0, np.int64)
         n = (bounds[:, 3] + (bounds[:, 4] << 16))[ref]
-        few = np.stack((facts[:, 10:] & 15, facts[:, 10:] >> 4), 2).reshape(len(facts), FEW)
+        few = unpacked_counts(facts[:, 10:])
 
         def counted(x, y):
             """Distinct plausible pairs of rows x, y: (a, b, kind, times, need)."""
@@ -291,26 +306,32 @@ def _grouped(packed: DataFrame) -> DataFrame:
 
         small = np.flatnonzero((size >= 2) & (size < HOT))
         rows = np.repeat(first[small] - np.concatenate(([0], np.cumsum(size[small])[:-1])).astype(np.int64), size[small]) + np.arange(int(size[small].sum())) if len(small) else np.zeros(0, np.int64)
-        pairs = joined([counted(rows[x], rows[y]) for x, y in pairs_within(size[small], 1_000_000)])
+        keep = np.repeat(size >= HOT, size)
+        for x, y in pairs_within(size[small], 1_000_000):
+            x, y = rows[x], rows[y]
+            ok = near_enough(n[x], n[y], few[ref[x]], few[ref[y]])
+            keep[x[ok]] = keep[y[ok]] = True
         large = np.flatnonzero(size >= HOT)
         led = large[(mix(sig[first[large]]) & np.uint64(3)) == 0]
         star = np.repeat(first[led] - np.concatenate(([0], np.cumsum(size[led])[:-1])).astype(np.int64), size[led]) + np.arange(int(size[led].sum())) if len(led) else np.zeros(0, np.int64)
         head = np.repeat(first[led], size[led])
         stars = joined([counted(head[head != star], star[head != star])])
-        total = np.add.reduceat(mix(ids[ref].view(np.uint64) * np.uint64(4) + kind.astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
-        gid, pick, count = np.unique(total[large], return_index=True, return_counts=True)
-        large = large[pick]
-        span = size[large]
-        rows = np.repeat(first[large] - np.concatenate(([0], np.cumsum(span)[:-1])).astype(np.int64), span) + np.arange(int(span.sum())) if len(large) else np.zeros(0, np.int64)
+        hot = np.repeat(size >= HOT, size)[keep]
+        sig, ref, kind, sure = sig[keep], ref[keep], kind[keep], sure[keep]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((first, [len(sig)])))
+        total = np.add.reduceat(mix(ids[ref].view(np.uint64) * np.uint64(8) + (kind * 2 + hot).astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        gid, pick, count = np.unique(total, return_index=True, return_counts=True)
+        span = size[pick]
+        rows = np.repeat(first[pick] - np.concatenate(([0], np.cumsum(span)[:-1])).astype(np.int64), span) + np.arange(int(span.sum())) if len(pick) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(span))), pa.int32()), pa.StructArray.from_arrays([pa.array(ids[ref[rows]]), pa.array(sure[rows].astype(np.int32))], ["doc", "sure"]))
         bucket = np.uint64(table.column("bucket")[0].as_py())
-        code = np.concatenate((pairs[0], stars[0]))
-        p, m = len(code), len(large)
+        code, p, m = stars[0], len(stars[0]), len(pick)
         column = lambda x, t: pa.concat_arrays([pa.array(x.astype(t.to_pandas_dtype())), pa.nulls(m, t)])
-        cols = [column(names[code // 4 // max(1, len(names))], pa.int64()), column(names[code // 4 % max(1, len(names))], pa.int64()), pa.array(np.concatenate((code % 4, kind[first[large]])).astype(np.int32)), column(np.arange(p) >= len(pairs[0]), pa.bool_())]
-        cols += [pa.array(np.concatenate((pairs[1], stars[1], count)).astype(np.int32)), column(np.concatenate((pairs[2], stars[2])), pa.int32())]
+        cols = [column(names[code // 4 // max(1, len(names))], pa.int64()), column(names[code // 4 % max(1, len(names))], pa.int64()), pa.array(np.concatenate((code % 4, kind[first[pick]])).astype(np.int32)), pa.array(np.concatenate((np.ones(p, bool), hot[first[pick]])))]
+        cols += [pa.array(np.concatenate((stars[1], count)).astype(np.int32)), column(stars[2], pa.int32())]
         cols += [pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(mix(gid + mix(np.array([bucket]))).view(np.int64))]), pa.concat_arrays([pa.nulls(p, lists.type), lists])]
-        return pa.table(cols, names=["a", "b", "kind", "star", "times", "need", "gid", "members"])
+        return pa.table(cols, names=["a", "b", "kind", "hot", "times", "need", "gid", "members"])
 
     return packed.groupBy("bucket").applyInArrow(work, schema)
 
@@ -323,7 +344,7 @@ def _representatives(pairs: DataFrame, known: DataFrame, *more: str) -> DataFram
 
 def _stars(groups: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b), a < b, once each: the stars that seem to share as many groups as a link needs. They are only the first pairs to be verified."""
-    summed = groups.filter("star").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times * 4 >= need")
+    summed = groups.filter("members is null").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times * 4 >= need")
     found = _representatives(summed.select("a", "b").distinct(), known)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -374,8 +395,8 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
         import pyarrow as pa
 
         def pairs_of(t):
-            cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "component", "n", "times", "kind", "sure")}
-            ranges = np.frombuffer(b"".join(t.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+            cols = {c: np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "component", "n", "times", "kind", "sure", "spared")}
+            ranges = unpacked_counts(np.frombuffer(b"".join(t.column("ranges").to_pylist()), np.uint8).reshape(-1, RANGES // 2))
             key = np.stack([np.asarray(t.column("gid")), cols["i"].astype(np.int64), cols["j"].astype(np.int64)])
             edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0), [True])))
             c = cols
@@ -385,7 +406,7 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
                 part = [near_enough(c["n"][x[k : k + 100_000]], c["n"][y[k : k + 100_000]], ranges[x[k : k + 100_000]], ranges[y[k : k + 100_000]]) for k in range(0, len(x), 100_000)]
                 ok = np.concatenate(part) if part else np.zeros(0, bool)
                 x, y = x[ok], y[ok]
-                need = np.maximum(np.maximum(c["sure"][x], c["sure"][y]), 1)
+                need = np.maximum(np.maximum(c["sure"][x], c["sure"][y]), 1) - np.maximum(c["spared"][x], c["spared"][y])
                 a, b = np.minimum(c["doc"][x], c["doc"][y]), np.maximum(c["doc"][x], c["doc"][y])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c["kind"][x]), pa.array(c["times"][x].astype(np.int64)), pa.array(need.astype(np.int32))], ["a", "b", "kind", "times", "need"])
 
@@ -405,29 +426,21 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
             yield from pairs_of(held)
 
     rep = known.select(F.col("doc_id").alias("doc"), "rep").distinct()
-    members = groups.filter("members is not null").select("gid", "kind", "times", F.size("members").alias("size"), F.inline("members")).join(rep, "doc")
-    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "times", "size", "sure")))
-    largest_first = Window.partitionBy("doc", "kind").orderBy(F.desc("size"), "gid")
-    members = cut(members.withColumn("upto", F.sum("times").over(largest_first)).withColumn("leaves", (F.col("kind") < 2) & (F.col("upto") * 3 <= (F.col("sure") - 1) * 2)))
-    spared = cut(members.filter("leaves").groupBy("doc", "kind").agg(F.max("upto").alias("spared")))
-    members = members.filter("NOT leaves")
+    members = groups.filter("members is not null").select("gid", "kind", "hot", "times", F.size("members").alias("size"), F.inline("members")).join(rep, "doc")
+    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "hot", "times", "size", "sure")))
+    own = Window.partitionBy("doc", "kind")
+    members = members.withColumn("upto", F.sum("times").over(own.orderBy(F.desc("hot"), F.desc("size"), "gid")))
+    members = members.withColumn("leaves", F.col("hot") & (F.col("kind") < 2) & (F.col("upto") * 3 <= (F.col("sure") - 1) * 2))
+    members = cut(members.withColumn("spared", F.coalesce(F.max(F.when(F.col("leaves"), F.col("upto"))).over(own), F.lit(0)).cast("int")).filter("NOT leaves").drop("leaves", "upto"))
     placed = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     wide = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x != y").select("gid", "blocks")
     facts = known.filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "n", "ranges").dropDuplicates(["doc"])
     rows = placed.join(wide, "gid").join(facts, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "kind", "times", "sure")
+    rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "kind", "times", "sure", "spared")
     found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(work, "a long, b long, kind int, times long, need int")
 
-    summed = groups.filter("NOT star").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
-    pairs = _representatives(summed, known, "kind", "times", "need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", "times", "need")
-    # Copies that several tasks have sent repeat a pair, each time with all groups that it shares.
-    pairs = pairs.groupBy("a", "b", "kind").agg(F.max("times").alias("times"), F.max("need").alias("need"))
-    node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    spare = lambda x: spared.select(F.col("doc").alias(x), "kind", F.col("spared").alias(f"s{x}"))
-    every = found.unionByName(pairs).groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times * 3 > need")  # the least that sparing leaves
-    every = every.join(spare("a"), ["a", "kind"], "left").join(spare("b"), ["b", "kind"], "left").filter(F.col("times") >= F.col("need") - F.greatest(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0))))
-    return every.select("a", "b").distinct().join(node("a"), "a", "left").join(node("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return found.groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
