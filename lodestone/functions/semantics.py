@@ -42,6 +42,6 @@ def pg_like(column: Column, pattern: str) -> Column:
     return column.like(pattern)
 
 
-def ranking(kind: str) -> Column:
-    """row_number, rank or dense_rank as int8, to be put over a window."""
-    return getattr(F, kind)()
+def ranking(kind: str, window) -> Column:
+    """row_number, rank or dense_rank over a window, as int8."""
+    return getattr(F, kind)().over(window).cast("long")
