@@ -488,6 +488,18 @@ def test_url_model(spark):
     assert again == {i: r["verdict"] for i, r in got.items()}
 
 
+def test_url_seeds(spark):
+    """Kinds of junk without a seed term in the host; words that only contain a seed word; rows of rules beside them leave the cut-off alone."""
+    junk = ["free-bets.example.net", "m.ads-track.example.com", "adult-x.example.net"]
+    fine = ["alphabets.example.net", "www.roads-loads.example.com", "essex-adulthood.example.net"]
+    rows = [(100 * k + i, f"http://{h}/en/{i}") for k, h in enumerate(junk + fine) for i in range(30)]
+    rows += [(1000 + i, f"http://m.{VOCABULARY[i % 40]}.example.com/{('en', 'de', 'de', 'de')[i % 4]}/{i}") for i in range(400)]
+    rows += [(2000 + i, f"http://{VOCABULARY[i % 40]}.example.org/fr/{i}") for i in range(400)]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {h: {got[100 * k + i] for i in range(30)} for k, h in enumerate(junk + fine)} == {h: {"block"} for h in junk} | {h: {"allow"} for h in fine}
+    assert {got[i] for i, u in rows if 1000 <= i < 2000 and "/en/" in u} == {"allow"}
+
+
 # 9
 
 
