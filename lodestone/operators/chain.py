@@ -2,7 +2,7 @@
 
 A resolved row has pos (seed order), branch, source_key, source_value, key, value, tuple_id, path (array of key, value,
 tuple_id from the seed to the row) and terminal (index in path of the terminal input). Rows that no chain made have a null path,
-and a null path satisfies no path filter. Every hop is one equi-join on the key.
+and a null path satisfies no path filter. Every hop is one equi-join on the key; a prefix terminal is one on each key's prefixes.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ def follow(kv: DataFrame, seeds: DataFrame, hops: int, terminal: Literal["row",
         now = now.join(nxt, F.col("value") == F.col("n_key")).select("pos", "source_key", "source_value", *(F.col(f"n_{c}").alias(c) for c in ("key", "value", "tuple_id")), F.concat("path", F.array(_step("n_"))).alias("path"))
     if terminal == "prefixes":
         at = F.size("path") - 1
-        now = now.join(nxt, F.startswith(F.col("n_key"), F.col("value"))).select("pos", "source_key", "source_value", *(F.col(f"n_{c}").alias(c) for c in ("key", "value", "tuple_id")), F.concat("path", F.array(_step("n_"))).alias("path"), at.alias("terminal"))
+        prefix = F.transform(F.sequence(F.lit(0), F.length("n_key")), lambda n: F.substr(F.col("n_key"), F.lit(1), n))
+        now = now.join(nxt.withColumn("n_prefix", F.explode(prefix)), F.col("value") == F.col("n_prefix")).select("pos", "source_key", "source_value", *(F.col(f"n_{c}").alias(c) for c in ("key", "value", "tuple_id")), F.concat("path", F.array(_step("n_"))).alias("path"), at.alias("terminal"))
     else:
         now = now.withColumn("terminal", F.lit(max(hops - 1, 0)))
     return now.withColumn("branch", F.lit(branch).cast("string")).select(*COLUMNS)

@@ -75,6 +75,11 @@ def chain_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.read(chain.follow(t, seeds, 0, "prefixes"), projection="source_key_target_value")
 
 
+def chain_prefix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = kv(spark, sf_dir)
+    return chain.read(chain.follow(t, customers(t), 0, "prefixes"), projection="source_key_target_value")
+
+
 def chain_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = kv(spark, sf_dir)
     return chain.read(chain.follow_branches(t, customers(t), [("nation", 1, "row"), ("region", 2, "row")]), projection="branch_label_target_value")
@@ -130,7 +135,7 @@ QUERIES = {
     "set_except_all_whole": _set_whole("except_all"),
     "set_symdiff_whole": _set_whole("symmetric_difference_distinct"),
     "set_symdiff_all_whole": _set_whole("symmetric_difference_all", 3),
-} | {f.__name__: f for f in (chain_one_hop, chain_two_hop, chain_seed_to_input, chain_prefix, chain_branches, chain_first_branch, chain_path_filters, chain_occurrence, chain_order_limit, chain_lookup)}
+} | {f.__name__: f for f in (chain_one_hop, chain_two_hop, chain_seed_to_input, chain_prefix, chain_prefix_whole, chain_branches, chain_first_branch, chain_path_filters, chain_occurrence, chain_order_limit, chain_lookup)}
 
 ORACLES = {
     "set_union_all": f"{C} UNION ALL {S}",
@@ -153,6 +158,7 @@ ORACLES = {
     "chain_two_hop": f"{TWO} SELECT {NONE}, k2 AS key, k0 || '=' || v0 || ' -> ' || k1 || '=' || v1 || ' -> ' || k2 || '=' || v2 AS value FROM h",
     "chain_seed_to_input": f"{TWO} SELECT {NONE}, k2 AS key, v0 || ' -> ' || v1 AS value FROM h",
     "chain_prefix": f"WITH {KV_SQL} SELECT s.key AS source_key, a.key, a.value FROM kv s JOIN kv a ON starts_with(a.key, s.value) WHERE s.key IN ('c1', 'c2', 'c3')",
+    "chain_prefix_whole": f"WITH {KV_SQL} SELECT s.key AS source_key, a.key, a.value FROM kv s JOIN kv a ON starts_with(a.key, s.value) WHERE s.key LIKE 'c%'",
     "chain_branches": f"{TWO} SELECT 'nation' AS source_key, k1 AS key, v1 AS value FROM h UNION ALL SELECT 'region', k2, v2 FROM h",
     "chain_first_branch": f"WITH {KV_SQL}, far AS (SELECT s.tuple_id, b.key, b.value FROM kv s JOIN kv a ON s.value = a.key JOIN kv b ON a.value = b.key), near AS (SELECT s.tuple_id, a.key, a.value FROM kv s JOIN kv a ON s.value = a.key) SELECT 'far' AS source_key, key, value FROM far UNION ALL SELECT 'near', key, value FROM near WHERE tuple_id NOT IN (SELECT tuple_id FROM far)",
     "chain_path_filters": f"{TWO} SELECT k0 AS source_key, k2 AS key, v2 AS value FROM h WHERE (k1 = 'n3' AND k2 = 'r3') OR k1 = 'n5'",

@@ -67,6 +67,15 @@ def test_prefixes_and_lookup(kv):
     assert bag(chain.key_batch_lookup(kv, ["c", "nope", "a"]).select("pos", "key")) == [(0, "c"), (2, "a")]
 
 
+def test_prefixes_are_an_equi_join(spark):
+    kv = spark.createDataFrame([("a", "b", 1), ("b", "", 2), ("bé😀", "bé", 3), ("", "none", 4), (None, "b", 5), ("c", None, 6), ("bé", "bé😀", 7)], "key string, value string, tuple_id long")
+    rows = chain.follow(kv, kv, 0, "prefixes")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    every = [tuple(r) for r in kv.collect()]
+    assert bag(rows.select("pos", "key")) == sorted(((i, k) for _, v, i in every for k, _, _ in every if v is not None and k is not None and k.startswith(v)), key=repr)
+
+
 def test_visible(spark):
     kv = spark.createDataFrame([("a", 1, None), ("b", 1, 3), ("c", 4, None)], "key string, created_by long, deleted_by long")
     assert [bag(chain.visible(kv, s).select("key")) for s in (2, 3, 4)] == [[("a",), ("b",)], [("a",)], [("a",), ("c",)]]

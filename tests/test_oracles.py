@@ -54,3 +54,8 @@ def test_set_queries_have_whole_tables(spark, duck, name):
     if name == "set_union_all":
         assert df.count() == count("orders") + count("lineitem")
     assert "s_suppkey" not in registry.ORACLES[f"{name}_whole"] and "where" not in registry.ORACLES[f"{name}_whole"].lower()
+
+
+def test_prefix_and_decimal_joins_have_whole_tables(spark, duck):
+    assert registry.QUERIES["chain_prefix_whole"](spark, DIR).select("source_key").distinct().count() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+    assert registry.QUERIES["join_decimal_key_whole"](spark, DIR).select("p_partkey").distinct().count() == duck.execute("SELECT count(*) FROM part WHERE p_retailprice IS NOT NULL").fetchone()[0]
