@@ -3,7 +3,7 @@
 The lexer reads `name = literal`, `name: literal`, `name := literal`, `name => literal` (quoted names, dotted names and
 `a + b` concatenations included) into name-literal pairs, carries constants through `other = name` assignments, and
 scores each literal by how sensitive the name that it ends up in is. A literal that scores `level` or more is a span of
-kind `lexed`, unless a base span covers a part of it. Spans are in code points, end exclusive; a base span is the whole match.
+kind `lexed`, unless base spans cover all of it. Spans are in code points, end exclusive; a base span is the whole match.
 
 Defined results: a null or empty text has no spans; texts of any length are scanned whole; repeated rows give equal rows; an empty table gives
 an empty result; other columns pass through `redact` untouched and are ignored by `scan`.
@@ -102,13 +102,22 @@ def lexed_spans(text: str, level: float = LEVEL) -> list[Span]:
     return [(a, b, "lexed") for a, b in found if b > a]
 
 
+def covered(start: int, end: int, base: list[Span]) -> bool:
+    """Whether base spans, by start, cover all from start to end."""
+    for a, b, _ in base:
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def spans(text: str | None, level: float = LEVEL) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start and then kind as listed."""
     if not text:
         return [], []
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base = sorted(base_spans(text), key=order)
-    more = [x for x in lexed_spans(text, level) if not any(x[0] < b and a < x[1] for a, b, _ in base)]
+    more = [x for x in lexed_spans(text, level) if not covered(x[0], x[1], base)]
     return base, sorted(base + more, key=order)
 
 

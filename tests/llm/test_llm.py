@@ -565,6 +565,17 @@ def test_redact(spark):
     assert got == {1: (1, "a [SECRET] b", 5), 2: (2, None, 5), 3: (3, "plain", None)}
 
 
+@pytest.mark.parametrize(("text", "spans", "left"), [
+    ('password = "hunter22!Zq#9x"', "assign:0:20,lexed:12:26", '[SECRET]"'),
+    ("api_key: 'abcdef1$Qw!AKIA" + "B" * 16 + "%z9' end", "assign:0:17,lexed:10:44,access:21:41", "[SECRET]' end"),
+    ("token='abcdef1'", "assign:0:14", "[SECRET]'"),
+    ('my_pwd = "' + "0f" * 12 + "AKIA" + "A" * 16 + '"', "hex:10:34,access:34:54", 'my_pwd = "[SECRET][SECRET]"'),
+])
+def test_lexed_spans_beside_base_spans(text, spans, left):
+    assert secret_scans.joined(secret_scans.spans(text)[1]) == spans
+    assert secret_scans.masked(text) == left
+
+
 # pipeline
 
 
