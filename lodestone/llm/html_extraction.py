@@ -7,6 +7,10 @@ sums surge from zero and ends where they dive to zero again; a stretch is kept i
 with an article marked every stretch is article text. Without any such stretch, the one with the most text is kept. All of a kept
 stretch stays, short lines too.
 
+A hint is a whole name in class, id, role, itemprop or aria-label: one of HINTS, or several joined with each other, numbers
+and PLAIN words. No hint skips <main> or an outer <article>. A <main> opens in every element without content but hidden ones,
+an article in a head, menu, header or form, and in a hinted element if the page has no article text elsewhere.
+
 Defined results: null or empty html, and pages without text, give an empty text; truncated markup is read as far as it
 goes; pages of any length are read whole; equal pages give equal texts; an empty table an empty result; other columns are ignored.
 """
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)/?>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)\Z""", re.S)
-HINT = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HINT = re.compile(r"""(?<![\w-])(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none")
 SPLIT = re.compile(r"[^a-z0-9]+")
 # Elements whose content is raw text, elements without content, blocks, containers of no article text.
@@ -32,18 +36,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NO_TEXT = frozenset("head nav footer header aside form menu dialog button select datalist audio video map".split())
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar share sharing social related recommended recommendations footer header masthead comment comments commentlist disqus discussion replies reply respond contentinfo complementary copyright".split())
+# Words that leave a hint what it is when joined with it, as in `related-posts`; others (`has-sidebar`) do not.
+PLAIN = frozenset("area bar block box button buttons column container form icons inner item items link links list panel post posts region section site slot stories unit wrap wrapper".split())
 WIDTH = 3
 SURGE = 86
 
 
 def lines_of(page: str) -> tuple[list[str | None], bool]:
     """Lines of text, None for a gap, and whether the page marks an article; then None stands for what is outside of it too."""
+    lines, marked, more = read_lines(page, False)
+    if more and not marked:
+        again, marked, _ = read_lines(page, True)
+        return (again, True) if marked else (lines, False)
+    return lines, marked
+
+
+def read_lines(page: str, in_hinted: bool) -> tuple[list[str | None], bool, bool]:
+    """What lines_of gives, articles in hinted elements read or not, and whether one was passed over there."""
     lines: list[str | None] = []
     inside: list[bool] = []
     piece: list[str] = []
     skip: list[str] = []  # open elements from the outermost one without article text on
+    why = ""  # the outermost one is skipped: its tag, `hinted` or `hidden`
     article = 0
-    marked = False
+    marked = more = False
 
     def flush() -> None:
         text = " ".join("".join(piece).split())
@@ -69,7 +85,14 @@ def lines_of(page: str) -> tuple[list[str | None], bool]:
                 stop = re.compile(rf"</{tag}(?=[\s>/])[^>]*>|\Z", re.I).search(page, at)
                 at = stop.end()
             continue
-        if skip and not (tag in ("article", "main") and not closing and skip[0] in ("head", "nav", "header", "menu") and not hinted(attributes)):
+        opens = False
+        if skip and tag in ("article", "main") and not closing and not hidden(attributes):
+            if why in ("head", "nav", "header", "menu") and (not article or not hinted(attributes)):
+                opens = True
+            elif not article and why != "hidden":
+                opens = tag == "main" or why == "form" or (in_hinted and why == "hinted")
+                more = more or (why == "hinted" and not opens)
+        if skip and not opens:
             if closing and tag in skip:
                 del skip[len(skip) - 1 - skip[::-1].index(tag) :]
             elif not closing and tag not in VOID and not attributes.endswith("/"):
@@ -83,12 +106,13 @@ def lines_of(page: str) -> tuple[list[str | None], bool]:
             continue
         if tag in BLOCK or tag in NO_TEXT:
             flush()
-        if not closing and tag not in VOID and ((tag in NO_TEXT and not (tag == "header" and article)) or hinted(attributes)) and tag not in ("html", "body"):
+        if not closing and tag not in VOID and tag not in ("html", "body") and (reason := skipped(tag, attributes, article)):
             flush()
             lines.append(None)
             inside.append(False)
             if not attributes.endswith("/"):
                 skip.append(tag)
+                why = reason
             continue
         if tag in ("article", "main"):
             if closing:
@@ -98,16 +122,33 @@ def lines_of(page: str) -> tuple[list[str | None], bool]:
                 marked = True
     flush()
     if marked and any(i and x for x, i in zip(lines, inside, strict=True)):
-        return [x if i else None for x, i in zip(lines, inside, strict=True)], True
-    return lines, False
+        return [x if i else None for x, i in zip(lines, inside, strict=True)], True, more
+    return lines, False, more
+
+
+def skipped(tag: str, attributes: str, article: int) -> str:
+    """Why the element holds no content, empty if it may."""
+    if hidden(attributes):
+        return "hidden"
+    if tag in NO_TEXT and not (tag == "header" and article):
+        return tag
+    return "hinted" if tag != "main" and not (tag == "article" and not article) and hinted(attributes) else ""
+
+
+def hidden(attributes: str) -> bool:
+    return bool(attributes and HIDDEN.search(attributes))
 
 
 def hinted(attributes: str) -> bool:
     if not attributes:
         return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(part in HINTS for m in HINT.finditer(attributes) for part in SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+    for m in HINT.finditer(attributes):
+        text = (m[2] or m[3] or m[4] or "").lower()
+        for name in [text] if m[1].lower() == "aria-label" else text.split():
+            parts = [p for p in SPLIT.split(name) if p]
+            if any(p in HINTS for p in parts) and all(p in HINTS or p in PLAIN or p[0].isdigit() for p in parts):
+                return True
+    return False
 
 
 def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:

@@ -265,6 +265,17 @@ def test_html(page, want):
     assert html_extraction.main_text(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article class='post has-sidebar'><p>A</p></article><p>no</p>", "A"), ("<main class='no-sidebar'><p>A</p></main>", "A"), ("<article class='comment'><p>A</p></article>", "A"),
+    ("<div class='content with-sidebar comments-open'><article><p>A</p></article></div>", "A"), ("<div class='content with-sidebar'><p>" + "long text " * 20 + "</p></div>", ("long text " * 20).strip()),
+    ("<form id='page'><nav>no</nav><article><p>A</p></article></form>", "A"), ("<form><div><main><p>A</p></main></div></form>", "A"),
+    ("<div class='sidebar'><p>no</p><article><p>A</p></article></div>", "A"), ("<article><p>A</p></article><div id='comments'><article class='comment'><p>no</p></article></div>", "A"),
+    ("<div style='display:none'><article><p>no</p></article></div><p>B</p>", "B"), ("<article><p>A</p><form><article>no</article></form><div class='related-posts'>no</div><div class='ad-300x250'>no</div></article>", "A"),
+])
+def test_html_hints(page, want):
+    assert html_extraction.main_text(page) == want
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<article><p>é x</p></article>"), (None, "u", "<p>" + "w " * 90000)], "page_id long, url string, html string")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_extraction.extract(clashing(df)).collect()}
