@@ -1,17 +1,19 @@
 """URL filters: host and path rules, then two character language models.
 
 Rules come first: the longest fitting one decides. Every other URL is judged by the ratio of two smoothed variable-order
-Markov models, one of accepted and one of rejected URLs, per character. Rejected training rows are the URLs that a rule
-blocks and those that no rule decides on a host with a seed term or a seed word; all others, with nothing against them, are
-accepted ones. Contexts of 0 to `order` characters back off into each other in proportion to how often
-the longer one was seen. Counts are hashed into `cells` cells, so the model is bounded while it gathers from every row,
-and scoring is a projection. The cut-off is calibrated on the training rows: a histogram of `bins` bins of their
-scores gives the point that separates the two classes best, and a class without rows leaves 0. Rows that no rule decides
-are the ones the cut-off is used on, so they alone calibrate it where they hold both classes.
+Markov models, one of accepted and one of rejected URLs, per character. The rules are all that says which is which: the
+URLs that one allows are the accepted class, those that one blocks the rejected class, and URLs without a rule train
+nothing (callers may name more of either class by predicates). Contexts of 0 to `order` characters back off into each other in
+proportion to how often the longer one was seen. Counts are hashed into `cells` cells, so the model is bounded while it gathers
+from every row, and scoring is a projection.
+
+A share of 1 / `held` of the hosts, by hash, trains nothing: the cut-off is calibrated on the decided URLs of these hosts alone. A
+histogram of `bins` bins of their scores gives the point that separates the two classes best; where they lack a class, it is 0.
 
 DataFrame functions only. Defined results: a null url, or one without `://`, has empty host and path, no rule, and is
-allowed, having nothing against it; so is any URL while either class has no training row. Equal URLs get equal verdicts;
-URLs of any length are scored whole; an empty table gives an empty result; other columns are ignored.
+allowed, having nothing against it; so is any URL while either class has no training row. A rule's path begins with `/`, so a URL
+that ends with its host (`http://a.org`) fits none. Equal URLs get equal verdicts; URLs of any length are scored whole; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,19 +31,10 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-# Words in a host that seed the rejected class where no rule decides.
-SEED_TERMS = ("spam", "pills", "casino", "poker", "viagra", "xxx", "warez")
-# Whole words of a host that seed it as well; as parts of other words they mean nothing.
-SEED_WORDS = tuple(
-    "ad ads adserver adserving adtrack adtracker adclick advert adverts popunder clickbait track tracker trackers tracking "
-    "adult adults cam cams camgirls dating escort escorts fetish hentai hookup milf nude nudes porn porno pron sex sexy webcam webcams "
-    "baccarat bet bets betting bingo blackjack bookie bookmaker gamble gambling jackpot lotto lottery roulette slot slots sportsbet sportsbook wager "
-    "cialis levitra pharma pill steroid steroids tramadol xanax payday forex replica replicas scam scams phish phishing "
-    "crack cracked cracks cracking keygen keygens malware nulled pirate pirated serialz torrent torrents".split()
-)
 CELLS = 1 << 15
 ORDER = 4
 PRIOR = 2.0
+HELD = 4  # one host in so many calibrates the cut-off and trains nothing
 BINS = 2000
 SPAN = 5.0  # scores beyond +-SPAN share the outer bins
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,13 +108,11 @@ def ratio(text: Column, accepted: list[int], rejected: list[int], order: int) ->
 
 
 def cut_off(scored: DataFrame) -> float:
-    """The score that best separates the rows of (score, good, open), open ones alone if both classes have some; 0 where a class is missing."""
+    """The score that best separates the rows of (score, good); 0 where a class is missing."""
     bin_of = F.least(F.greatest(F.floor((F.col("score") + SPAN) * (BINS / (2 * SPAN))), F.lit(0)), F.lit(BINS - 1))
     tally = lambda hit: F.sum(hit.cast("long"))
-    rows = scored.groupBy(bin_of.alias("bin")).agg(tally(F.col("good")).alias("a"), tally(~F.col("good")).alias("r"), tally(F.col("good") & F.col("open")).alias("open_a"), tally(~F.col("good") & F.col("open")).alias("open_r")).collect()  # BINS rows at most
-    found = {row["bin"]: (row["open_a"], row["open_r"]) for row in rows}
-    if not any(a for a, _ in found.values()) or not any(r for _, r in found.values()):
-        found = {row["bin"]: (row["a"], row["r"]) for row in rows}
+    rows = scored.groupBy(bin_of.alias("bin")).agg(tally(F.col("good")).alias("a"), tally(~F.col("good")).alias("r")).collect()  # BINS rows at most
+    found = {row["bin"]: (row["a"], row["r"]) for row in rows}
     good, bad = sum(a for a, _ in found.values()), sum(r for _, r in found.values())
     if not good or not bad:
         return 0.0
@@ -136,20 +127,19 @@ def cut_off(scored: DataFrame) -> float:
     return ((low + high) / 2 + 1) * (2 * SPAN / BINS) - SPAN
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_terms=SEED_TERMS, seed_words=SEED_WORDS, order: int = ORDER, cells: int = CELLS) -> DataFrame:
-    """One row a page: page_id, host, path, rule, verdict, score (null where a rule decides or the url is no URL)."""
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, accepted: Column | None = None, rejected: Column | None = None, order: int = ORDER, cells: int = CELLS, held: int = HELD) -> DataFrame:
+    """One row a page: page_id, host, path, rule, verdict, score (null where a rule decides or the url is no URL). accepted, rejected:
+    predicates over host and path that name training rows among the URLs without a rule."""
     split = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     judged = split.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), model_text(F.col("host"), F.col("path"), order).alias("text"))
-    seeded = F.arrays_overlap(F.split(F.col("host"), "[^a-z]+"), F.array(*map(F.lit, seed_words)).cast("array<string>"))
-    for term in seed_terms:
-        seeded = seeded | F.contains(F.col("host"), F.lit(term))
-    rows = judged.filter("host != ''").select("text", F.col("says").isNull().alias("open"), F.when(F.col("says").isNotNull(), F.col("says") == "allow").otherwise(~seeded).alias("good"))
-    accepted, rejected = counts(rows, order, cells)
+    no = F.lit(False)
+    good = F.when(F.col("says").isNotNull(), F.col("says") == "allow").when(no if rejected is None else rejected, no).when(no if accepted is None else accepted, F.lit(True))
+    rows = judged.filter("host != ''").select("text", good.alias("good"), (F.pmod(F.xxhash64("host"), F.lit(held)) == 0).alias("held")).filter("good is not null")
+    tables = counts(rows.filter("NOT held"), order, cells)
     verdict, score = F.coalesce(F.col("says"), F.lit("allow")), F.lit(None).cast("double")
-    if any(accepted) and any(rejected):
-        level = cut_off(rows.select("good", "open", ratio(F.col("text"), accepted, rejected, order).alias("score")))
-        open_ = F.col("says").isNull() & (F.col("host") != "")
-        judged = judged.withColumn("score", F.when(open_, ratio(F.col("text"), accepted, rejected, order)))
+    if all(map(any, tables)):
+        level = cut_off(rows.filter("held").select("good", ratio(F.col("text"), *tables, order).alias("score")))
+        judged = judged.withColumn("score", F.when(F.col("says").isNull() & (F.col("host") != ""), ratio(F.col("text"), *tables, order)))
         verdict, score = F.when(F.col("says").isNotNull(), F.col("says")).when(F.col("score") < level, F.lit("block")).otherwise(F.lit("allow")), F.col("score")
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
