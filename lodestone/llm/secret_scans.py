@@ -1,21 +1,27 @@
 """Secret scans: three base patterns, and an assignment-aware lexer of source and configuration syntax.
 
-The lexer reads `name = literal`, `name: literal`, `name := literal`, `name => literal` (quoted names, dotted names and
-`a + b` concatenations included) into name-literal pairs, carries constants through `other = name` assignments, and
-scores each literal by how sensitive the name that it ends up in is. A literal that scores `level` or more is a span of
-kind `lexed`, unless base spans cover all of it. Spans are in code points, end exclusive; a base span is the whole match.
-
-Defined results: a null or empty text has no spans; texts of any length are scanned whole; repeated rows give equal rows; an empty table gives
-an empty result; other columns pass through `redact` untouched and are ignored by `scan`.
+The lexer splits a text into strings (prefixes, triple quotes and escapes included), names, operators, brackets and line starts, and
+reads them into name-literal pairs: assignments (`=`, `:=`, `=>`, `?=`, `:`) to dotted, indexed, annotated and quoted names, keys of nested
+braces, indented blocks and sections, arguments that follow a name given as a string (`set("password", "...")`), XML attributes and
+elements, command line flags. A value is a concatenation of strings, bare words and names; `f"..."`, backtick strings and
+`${...}` hold names too. A second pass carries constants through names, whether they are assigned before their use or after
+it, and scores each value by how sensitive the name is that it ends up in: the last name of its path, or, where that is as general as
+`value`, one before it. The literals of a value that scores `level` or more are spans of kind `lexed`, unless base spans cover all of
+them. Spans are in code points, end exclusive; a base span is the whole match.
+
+Defined results: a null or empty text has no spans; texts of any length are scanned whole; names that refer to each other in a circle
+have no value; repeated rows give equal rows; an empty table gives an empty result; other columns pass through `redact` untouched and are ignored by `scan`.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +35,36 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-LITERAL = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s,;"'`(){}\[\]<>+]+"""
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_.$-])["']?([A-Za-z_$][A-Za-z0-9_.$-]*)["'\]]{{0,2}}[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*({LITERAL})""")
-MORE = re.compile(rf"[ \t]*\+[ \t]*({LITERAL})")
-NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
+STRING = r"""(?<![\w'"`])[A-Za-z]{0,2}(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"""
+IDENT = r"[A-Za-z_$][\w$]*"
+TOKEN = re.compile(rf"""(?s)(?P<string>{STRING})|(?P<flag>(?<!\S)--[A-Za-z][\w-]*)|(?P<tag><[A-Za-z][\w:.-]*)|(?P<name>{IDENT}(?:(?:\.|->|::|-){IDENT})*)|(?P<op>[=!<>]=|:=|=>|[?+]=|=|:(?![:/]))|(?P<mark>[{{}}()\[\],;/])|(?P<line>\n[ \t]*(?:-[ \t]+)?)""")
+BARE = re.compile(r"""[^\s,;"'`(){}\[\]<>]+""")
+VALUE = re.compile(rf"(?s){STRING}")
+GAP = re.compile(r"(?:[ \t]|\\\n)*")
+OPEN = re.compile(r"[ \t]*\([ \t\n]*(?=[A-Za-z]{0,2}[\"'])")
+PLUS = re.compile(r"(?:[ \t\n]|\\\n)*+(?:\+|\.(?=[ \t]))(?:[ \t\n]|\\\n)*+")
+NEXT_STRING = re.compile(r"(?:[ \t\n]|\\\n)*+(?=[A-Za-z]{0,2}[\"'])")
+HOLE = re.compile(rf"\$?\{{({IDENT})\}}")
+SHELL_NAME = re.compile(rf"\$(?:\{{({IDENT})\}}|({IDENT}))\Z")
+NAME = re.compile(rf"{IDENT}(?:\.{IDENT})*\Z")
+KEY = re.compile(r"[A-Za-z_$][\w$. -]{0,63}\Z")
+ATTRIBUTES = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*(?:"([^"<]*)"|'([^'<]*)')""")
+TAG_END = re.compile(r"[^<>]*>")
+ELEMENT = re.compile(r"([^<>\s]+)</([A-Za-z][\w:.-]*)>")
+SCHEME = re.compile(r"(?i)(?:bearer|basic|token|apikey)[ \t]+(?=\S)")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+# Type names between a name and its value, names that say nothing by themselves, attributes that hold a name or its value.
+TYPES = frozenset("str string String text bytes char const var let final static".split())
+GENERAL = frozenset("value val values data text string default plain plaintext raw content current literal stringvalue".split())
+NAME_ATTRIBUTES, VALUE_ATTRIBUTES = frozenset("key name id property".split()), frozenset("value content default val".split())
 # How sensitive a part of a name is; a key counts with a qualifier beside it.
-WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "signature": 0.6, "salt": 0.6, "pin": 0.6}
+WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "pass": 0.8, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "signature": 0.6, "salt": 0.6, "pin": 0.6}
 KEY_QUALIFIERS = frozenset({"api", "access", "private", "secret", "signing", "encryption", "auth", "master", "client", "account", "shared", "session", "service", "crypt"})
 PLACEHOLDERS = re.compile(r"(?i)\A(?:none|null|nil|true|false|undefined|changeme|change_me|example|placeholder|redacted|todo|your[_-].*|x+|\*+|\.+|\$\{.*|\$\(.*|<.*|%\(.*|\{\{.*|os\.environ.*|env\..*|process\.env.*|getenv.*)\Z")
+SENSITIVE = re.compile("|".join([*WEIGHTS, "keys?"]), re.I)
 MIN_LITERAL = 6
+DEEP = 8  # outer names that a path holds
+DEPTH = 16  # names that a value is carried through
 LEVEL = 0.5
 
 Span = tuple[int, int, str]
@@ -74,32 +100,223 @@ def literal_weight(literal: str) -> float:
     return min(1.0, 0.2 * min(bits, 4) + 0.1 * kinds)
 
 
+class Pair(NamedTuple):
+    """path: names from the outermost on; value: literals (start, end) and names (text, start, end) in their order."""
+
+    path: tuple[str, ...]
+    at: int
+    value: tuple
+
+
+class Reader:
+    """Reads a text into name-literal pairs."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.pairs = text, []
+        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+        self.braces: list[tuple[str, ...]] = []  # names that open brackets add to a path
+        self.blocks: list[tuple[int, str]] = []  # indented blocks: indent and name
+        self.section: tuple[str, ...] = ()
+        self.end = 0  # of the last value: no operator inside it assigns anything
+
+    def read(self) -> list[Pair]:
+        text, indent, pending = self.text, 0, ()
+        for i, (kind, a, b) in enumerate(self.tokens):
+            if kind == "line":
+                indent = b - a - 1
+                while self.blocks and not self.blank(b) and self.blocks[-1][0] >= indent:
+                    self.blocks.pop()
+            elif kind == "op" and a >= self.end and text[a:b] in ("=", ":", ":=", "=>", "?=", "+="):
+                key = self.key(i)
+                if key:
+                    pending = (b, key)
+                    if text[a] == ":" and self.blank(b) and not self.braces:
+                        self.blocks.append((indent, key[-1]))
+                    else:
+                        self.add(key, b)
+            elif kind == "mark" and text[a] in "{([":
+                inherits = text[a] != "(" and pending and not text[pending[0] : a].strip()
+                self.braces.append(((self.braces[-1] if self.braces else ()) + (pending[1] if inherits else ()))[-DEEP:])
+                if text[a] == "[" and not self.braces[:-1] and (not i or self.tokens[i - 1][0] == "line"):
+                    end = text.find("]", a, a + 80)
+                    if 0 < end and KEY.match(text[b:end]) and self.blank(end + 1):
+                        self.section = tuple(text[b:end].split("."))
+            elif kind == "mark" and text[a] in "})]":
+                if self.braces:
+                    self.braces.pop()
+            elif kind == "mark" and text[a] == "," and i > 1 and self.tokens[i - 1][0] == "string" and text[self.tokens[i - 2][1]] in "(,":
+                name = self.string_key(*self.tokens[i - 1][1:])
+                if name and NEXT_STRING.match(text, b):
+                    self.add((name,), b)
+            elif kind == "flag" and text[b : b + 1] in (" ", "\t"):
+                self.add((text[a + 2 : b],), b, quick=True)
+            elif kind == "tag":
+                self.tag(a, b)
+        return self.pairs
+
+    def blank(self, at: int) -> bool:
+        """Whether the line is empty from here on, but for a comment."""
+        m = GAP.match(self.text, at)
+        return m.end() == len(self.text) or self.text[m.end()] in "\n#"
+
+    def string_key(self, a: int, b: int) -> str:
+        inner = self.text[a:b].strip("\"'`")
+        return inner if KEY.match(inner) else ""
+
+    def key(self, i: int) -> tuple[str, ...]:
+        """The name before operator i, empty if there is none."""
+        text, tokens = self.text, self.tokens
+        start = tokens[i][1]
+        if not i or text[tokens[i - 1][2] : start].strip(" \t?"):
+            return ()
+        kind, a, b = tokens[i - 1]
+        if kind == "string":
+            name = self.string_key(a, b)
+            return (name,) if name else ()
+        if kind == "name":
+            name = text[a:b]
+            before = tokens[i - 2] if i > 1 else ("", 0, 0)
+            if before[0] == "op" and text[before[1]] == ":" and i > 2 and tokens[i - 3][0] == "name" and "\n" not in text[tokens[i - 3][1] : b]:
+                name = text[tokens[i - 3][1] : tokens[i - 3][2]]  # name: type = value
+            elif name in TYPES and before[0] == "name":
+                name = text[before[1] : before[2]]
+            return tuple(p for p in re.split(r"\.|->|::", name) if p)
+        if text[a] == "]" and i > 3 and tokens[i - 2][0] == "string" and text[tokens[i - 3][1]] == "[":
+            name = self.string_key(*tokens[i - 2][1:])
+            return (name,) if name else ()
+        if kind == "flag":
+            return (text[a + 2 : b],)
+        return ()
+
+    def add(self, key: tuple[str, ...], at: int, quick: bool = False) -> None:
+        value = self.value(at, quick)
+        if value:
+            outer = (self.braces[-1] if self.braces else ()) or [n for _, n in self.blocks[-DEEP:]]
+            self.pairs.append(Pair((*self.section, *outer, *key), at, value))
+
+    def value(self, at: int, quick: bool) -> tuple:
+        """The pieces of the value that begins at a place: to the end of a concatenation, of adjacent strings, or of a bare word."""
+        text, out = self.text, []
+        at = GAP.match(text, at).end()
+        m = OPEN.match(text, at)
+        inside = bool(m)
+        at = m.end() if m else at
+        while True:
+            m = VALUE.match(text, at)
+            if m:
+                out += self.pieces(at, m.end())
+                at = m.end()
+                follows = NEXT_STRING.match(text, at) if inside else None
+            else:
+                m = BARE.match(text, at)
+                if not m:
+                    break
+                skip = SCHEME.match(text, at)
+                if skip and not out:
+                    at = skip.end()
+                    continue
+                end = at + len(m[0].rstrip(".:"))
+                whole = text[at:end]
+                if "+" in whole and all(map(NAME.match, whole.split("+"))):
+                    end = at + whole.index("+")
+                if end == at or text[m.end() : m.end() + 1] in ("(", "["):
+                    break
+                out.append((text[at:end], at, end))
+                self.end = max(self.end, end)
+                at, follows = end, None
+            follows = follows or (None if quick else PLUS.match(text, at))
+            if not follows or follows.end() == at:
+                break
+            at = follows.end()
+        return tuple(out)
+
+    def pieces(self, a: int, b: int) -> list[tuple]:
+        """A string as literals and the names in it, without quotes and without the scheme of a credential."""
+        text = self.text
+        open_ = next(k for k in range(a, b) if text[k] in "\"'`")
+        mark = text[open_]
+        wide = 3 if text.startswith(mark * 3, open_) and b - open_ >= 6 else 1
+        lo, hi = open_ + wide, b - wide
+        m = SCHEME.match(text, lo, hi)
+        lo = m.end() if m else lo
+        if "f" not in text[a:open_].lower() and mark != "`" and "${" not in text[lo:hi]:
+            return [(lo, hi)]
+        out = []
+        for m in HOLE.finditer(text, lo, hi):
+            out += [(lo, m.start()), (m[1], m.start(), m.start())]
+            lo = m.end()
+        return [*out, (lo, hi)]
+
+    def tag(self, a: int, b: int) -> None:
+        """Attributes that name each other's value, and a word in an element of its own."""
+        text = self.text
+        m = TAG_END.match(text, b)
+        if not m:
+            return
+        found = [(x[1].lower().split(":")[-1], x.span(2) if x[2] is not None else x.span(3)) for x in ATTRIBUTES.finditer(text, b, m.end())]
+        names = [text[slice(*p)] for k, p in found if k in NAME_ATTRIBUTES]
+        for k, p in found:
+            if k in VALUE_ATTRIBUTES:
+                self.pairs += [Pair((n,), a, (p,)) for n in names if KEY.match(n)]
+        inner = ELEMENT.match(text, m.end())
+        if inner and inner[2] == text[a + 1 : b]:
+            self.pairs.append(Pair((inner[2].split(":")[-1],), a, (inner.span(1),)))
+
+
+def resolved(pair: Pair, text: str, known: dict[str, tuple[list[int], list[Pair]]], depth: int = DEPTH) -> list[tuple[int, int]]:
+    """The literals that a value consists of, each once, names replaced by what was last assigned to them before, or else first after."""
+    out: dict[tuple[int, int], None] = {}
+    seen, level = {id(pair)}, [pair]
+    for _ in range(depth + 1):
+        follow = []
+        for one in level:
+            for piece in one.value:
+                if len(piece) == 2:
+                    out[piece] = None
+                    continue
+                word, a, b = piece
+                shell = SHELL_NAME.match(word)
+                name = (shell[1] or shell[2]) if shell else word
+                places, made = known.get(name.split(".")[-1], ((), ()))
+                at = bisect.bisect_left(places, a) - 1
+                at -= at >= 0 and made[at] is one
+                at = at if at >= 0 else next((k for k in range(min(2, len(made))) if made[k] is not one), -1)
+                if at >= 0:
+                    if id(made[at]) not in seen:
+                        seen.add(id(made[at]))
+                        follow.append(made[at])
+                elif not shell and not (NAME.match(word) and word.replace(".", "").replace("_", "").isalpha()):
+                    out[a, b] = None
+        level = follow
+    return [(a, b) for a, b in out if b > a]
+
+
+def path_weight(path: tuple[str, ...]) -> float:
+    """How sensitive the last name is that says anything."""
+    for name in reversed(path):
+        if "".join(PARTS.findall(name)).lower() not in GENERAL:
+            return name_weight(name)
+    return 0.0
+
+
 def lexed_spans(text: str, level: float = LEVEL) -> list[Span]:
     """Spans of literals that reach a sensitive name."""
-    if "=" not in text and ":" not in text:
+    if not SENSITIVE.search(text):  # no name can reach the level
         return []
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    pairs = Reader(text).read()
+    known: dict[str, tuple[list[int], list[Pair]]] = {}
+    for p in sorted(pairs, key=lambda p: p.at):
+        places, made = known.setdefault(p.path[-1], ([], []))
+        places.append(p.at)
+        made.append(p)
     found: dict[tuple[int, int], None] = {}
-    at = 0
-    while m := PAIR.search(text, at):
-        value, places, pieces, at = "", [], [(m.group(2), m.start(2))], m.end()
-        while more := MORE.match(text, at):
-            pieces.append((more.group(1), more.start(1)))
-            at = more.end()
-        for raw, start in pieces:
-            if raw[0] in "\"'`":
-                value, places = value + raw[1:-1], [*places, (start + 1, start + len(raw) - 1)]
-            elif raw in constants:
-                value, places = value + constants[raw][0], places + constants[raw][1]
-            elif not (NAME.match(raw) and raw[-1:] not in "0123456789" and len(raw) < 12 and raw.isalpha()):
-                bare = raw.rstrip(".:")
-                value, places = value + bare, [*places, (start, start + len(bare))]
-        name = m.group(1)
-        constants[name] = (value, places)
-        weight = name_weight(name)
-        if weight and weight * literal_weight(value) >= level:
-            found |= dict.fromkeys(places)
-    return [(a, b, "lexed") for a, b in found if b > a]
+    for p in pairs:
+        weight = path_weight(p.path)
+        if weight >= level:
+            places = resolved(p, text, known)
+            if weight * literal_weight("".join(text[a:b] for a, b in places)) >= level:
+                found |= dict.fromkeys(places)
+    return [(a, b, "lexed") for a, b in sorted(found)]
 
 
 def covered(start: int, end: int, base: list[Span]) -> bool:

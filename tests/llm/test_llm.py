@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, exact_topk, html_extraction, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scans, sentence_pieces, substring_dedup, tokens, url_filters
+from lodestone.llm import common, components, exact_topk, html_extraction, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scans, sentence_pieces, substring_dedup, tokens, url_filters
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +75,15 @@ def test_words_and_hashes():
     assert (tokens.hashes(part, lower=True) == h).all()
 
 
+def test_perhaps_among(spark):
+    ids = [-(2**63), -7, 0, 1, 5, 32768, 2**40, 2**63 - 1, *range(1000, 3000, 7)]
+    df = spark.createDataFrame([(i, str(i)) for i in [*range(-100, 4000), *ids]] + [(None, "x")], "k long, v string")
+    got = [r["k"] for r in common.perhaps_among(df, "k", spark.createDataFrame([(i,) for i in ids], "i long")).collect()]
+    want = [r["k"] for r in df.collect() if r["k"] in set(ids)]
+    assert set(want) <= set(got) and sum(g in set(ids) for g in got) == len(want) and len(got) <= len(want) + 3
+    assert common.perhaps_among(df, "k", df.select("k").limit(0)).isEmpty()
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
@@ -650,6 +659,87 @@ def test_lexer(text, spans):
     assert [text[a:b] for a, b, _ in secret_scans.lexed_spans(text)] == spans
 
 
+LEXED = [  # text, its literals that reach a sensitive name
+    ('export DB_PASS="Zq8#kk29Lm"', ["Zq8#kk29Lm"]), ('<add key="ApiSecret" value="Zq8#kk29Lm"/>', ["Zq8#kk29Lm"]), ('{"client": {"secret": {"value": "Zq8#kk29Lm"}, "id": "Zq8#kk29Lm"}}', ["Zq8#kk29Lm"]),
+    ('cfg.set("password", "Zq8#kk29Lm")', ["Zq8#kk29Lm"]), ('my_pwd = P\nP = "Zq8#kk29Lm"', ["Zq8#kk29Lm"]), ('pwd = """Zq8#kk29Lm"""', ["Zq8#kk29Lm"]), ("Authorization: Bearer Zq8.kk29Lm-x", ["Zq8.kk29Lm-x"]),
+    ('U="Zq8#"\npwd = f"{U}kk29Lm"', ["Zq8#", "kk29Lm"]), ('my_pass: str = "Zq8#kk29Lm"', ["Zq8#kk29Lm"]), ('var passphrase string = "Zq8#kk29Lm"', ["Zq8#kk29Lm"]), ("secret:\n  value: Zq8kk29Lm\n  user: bob12345", ["Zq8kk29Lm"]),
+    ("[credentials]\nvalue = Zq8kk29Lm\nhost = abc12345x", ["Zq8kk29Lm"]), ("mysql --passphrase Zq8kk29Lm -h x", ["Zq8kk29Lm"]), ('pwd = (\n  "Zq8#"\n  "kk29Lm"\n)', ["Zq8#", "kk29Lm"]), ("cfg['db']['pwd'] = 'Zq8#kk29Lm'", ["Zq8#kk29Lm"]),
+    ("<passphrase>Zq8#kk29Lm</passphrase>", ["Zq8#kk29Lm"]), ("signing_key: abc+Def/9x==", ["abc+Def/9x=="]), ("PWD2=Zq8kk29Lm\nCONN_PASS=$PWD2", ["Zq8kk29Lm"]), ('pwd = "Zq8#kk" \\\n  + "29Lm"', ["Zq8#kk", "29Lm"]),
+    ('pwd = get_it("abc")', []), ("a = b\nb = a\npwd = a", []), ("passphrase = settings.PASSPHRASE", []), ("don't say pwd isn't it", []), ("if pwd == 'Zq8#kk29Lm': pass", []), ("user: {name: 'Zq8#kk29Lm'}", []), ("", []), ("pwd", []), ("pwd =", []), ("pwd = '", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LEXED)
+def test_lexer_syntax(text, want):
+    assert [text[a:b] for a, b, _ in sorted(secret_scans.lexed_spans(text))] == want
+
+
+def evaluated(program):
+    """Brute force: what names of a program of (name, parts) hold, parts being literals or names, whatever their order; None in a circle."""
+
+    def go(name, seen):
+        if name in seen:
+            return None
+        out = []
+        for kind, x in program[name]:
+            more = [x] if kind == "lit" else go(x, seen | {name}) if x in program else []
+            if more is None:
+                return None
+            out += more
+        return out
+
+    return {name: go(name, frozenset()) for name in program}
+
+
+@pytest.mark.parametrize("syntax", [("{} = {}", '"{}"', " + "), ("const {} = {};", "'{}'", " + "), ("{}: {}", "'{}'", " + "), ("set {} := {}", "`{}`", " + "), ("  {} => {},", 'b"{}"', "+")])
+def test_constants_against_brute_force(syntax):
+    """Random programs of constants in several syntaxes: exactly the literals that the evaluator finds in sensitive names are spans."""
+    form, quoted, plus = syntax
+    found = wanted = hit = 0
+    for seed in range(40):
+        r = random.Random(seed)
+        names = [f"c{i}" for i in range(8)] + ["db_passphrase", "my_pwd", "color", "authToken"]
+        program, literals = {}, 0
+        for k, name in enumerate(names):
+            parts = []
+            for _ in range(r.randrange(1, 4)):
+                if k and r.random() < 0.5:
+                    parts.append(("name", r.choice(names[:k])))
+                else:
+                    literals += 1
+                    parts.append(("lit", f"Q{literals}z#x{r.randrange(10**6)}"))
+            program[name] = parts
+        order = names[:]
+        r.shuffle(order)
+        text = "\n".join(form.format(n, plus.join(quoted.format(x) if k == "lit" else x for k, x in program[n])) for n in order)
+        values = evaluated(program)
+        want = {x for n in ("db_passphrase", "my_pwd", "authToken") for x in values[n]}
+        got = {text[a:b] for a, b, _ in secret_scans.lexed_spans(text)}
+        found, wanted, hit = found + len(got), wanted + len(want), hit + len(got & want)
+    assert (found, wanted) == (hit, hit) and hit > 300
+
+
+def test_planted_secrets():
+    """Recall on secrets planted in prose among decoys, by syntax; no decoy is a span."""
+    r = random.Random(3)
+    forms = ['{n} = "{v}"', "{n}: '{v}'", 'export {n}="{v}"', '{{"a": {{"{n}": "{v}"}}}}', "cfg.put('{n}', '{v}')", '<x name="{n}" value="{v}"/>', "<{n}>{v}</{n}>", "--{n} {v}", "{n}:\n  value: {v}\n", 'k9 = "{v}"\n{n} = k9', "let {n}: string = `{v}`;", '{n} = r"""{v}"""']
+    hits = total = 0
+    for form in forms:
+        for name in ("dbPassphrase", "admin_pwd", "clientCredential", "authToken", "signing_key"):
+            for _ in range(5):
+                value = "".join(r.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789") for _ in range(14)) + "7"
+                text = prose(r.random(), 30) + "\nhost = 'Ab3kk9Lm2x4'\n" + form.format(n=name, v=value) + "\nuser: Ab3kk9Lm2x5\n" + prose(r.random(), 20)
+                got = [text[a:b] for a, b, _ in secret_scans.spans(text)[1]]
+                total, hits = total + 1, hits + any(value in x for x in got)
+                assert not any("Ab3kk9" in x for x in got), text
+    assert hits >= 0.95 * total, hits / total
+
+
+def test_lexer_on_broken_and_long_input():
+    for text in ('"' * 100_000 + " pwd", "pwd" + "\'\'\'" * 30_000, "pwd=\'" * 30_000, "pwd {" * 30_000, "<a pwd" * 30_000, "pwd=x+" * 30_000, "a=b\nb=a\npwd=a+b+a+b\n" * 500, "pwd=a" + "\\" * 50_000):
+        secret_scans.lexed_spans(text)
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdef1 b", 5), (2, None, 5), (3, "plain", None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: tuple(r) for r in secret_scans.redact(df).collect()}
