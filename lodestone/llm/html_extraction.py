@@ -1,11 +1,14 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped into lines, one for each block of text; an element that holds no content (script, menu, footer,
-form, advert, comments ...) leaves a gap of empty lines instead. Where the page marks its article, the lines outside of
-it are gaps as well. The text lengths of lines are summed over windows of `width` lines. A stretch begins where the
-sums surge from zero and ends where they dive to zero again; a stretch is kept if one of its sums reaches `surge`, and
-with an article marked every stretch is article text. Without any such stretch, the one with the most text is kept. All of a kept
-stretch stays, short lines too.
+Markup is stripped into lines, one for each block of text; outside of an article, an element that holds no content (script, menu,
+footer, form, advert, comments ...) leaves a gap of empty lines instead. The text lengths of lines are summed over windows of `width`
+lines. A stretch begins where the sums surge from zero and ends where they dive to zero again; it is kept if one of its sums
+reaches `surge`. All of a kept stretch stays, short lines too.
+
+Article markup is a prior of that decision and no more: sums of lines in <article> or <main> count PRIOR times, and lines outside are gaps as
+long as some stretch inside is kept. So a short article beside a long one goes; where the marked text never surges, the whole page is
+decided by its sums. If no stretch is kept at all, the marked text is, or without any the stretch with the most text. A
+<header> in an article is part of it, as it holds the title; the page's own is not.
 
 A hint is a whole name in class, id, role, itemprop or aria-label: one of HINTS, or several joined with each other, numbers
 and PLAIN words. No hint skips <main> or an outer <article>. A <main> opens in every element without content but hidden ones,
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)/?>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)\Z""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*)/?>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)\Z""", re.S)
 HINT = re.compile(r"""(?<![\w-])(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none")
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -40,33 +44,37 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
 PLAIN = frozenset("area bar block box button buttons column container form icons inner item items link links list panel post posts region section site slot stories unit wrap wrapper".split())
 WIDTH = 3
 SURGE = 86
+PRIOR = 4
+
+
+Lines = list[tuple[str | None, bool]]
 
 
-def lines_of(page: str) -> tuple[list[str | None], bool]:
-    """Lines of text, None for a gap, and whether the page marks an article; then None stands for what is outside of it too."""
-    lines, marked, more = read_lines(page, False)
-    if more and not marked:
-        again, marked, _ = read_lines(page, True)
-        return (again, True) if marked else (lines, False)
-    return lines, marked
+def lines_of(page: str) -> Lines:
+    """Lines of text, None for a gap, and whether each is in a marked article."""
+    lines, more = read_lines(page, False)
+    if more and not any(inside for _, inside in lines):
+        again, _ = read_lines(page, True)
+        return again if any(inside for _, inside in again) else lines
+    return lines
 
 
-def read_lines(page: str, in_hinted: bool) -> tuple[list[str | None], bool, bool]:
+def read_lines(page: str, in_hinted: bool) -> tuple[Lines, bool]:
     """What lines_of gives, articles in hinted elements read or not, and whether one was passed over there."""
-    lines: list[str | None] = []
-    inside: list[bool] = []
+    lines: Lines = []
     piece: list[str] = []
     skip: list[str] = []  # open elements from the outermost one without article text on
+    held: Counter[str] = Counter()  # how often each of them
     why = ""  # the outermost one is skipped: its tag, `hinted` or `hidden`
     article = 0
-    marked = more = False
+    more = False
+    section_end = 0  # of the last CDATA section, -1 if no more end
 
     def flush() -> None:
         text = " ".join("".join(piece).split())
         piece.clear()
         if text:
-            lines.append(text)
-            inside.append(article > 0)
+            lines.append((text, article > 0))
 
     at, end = 0, len(page)
     while at < end:
@@ -76,13 +84,16 @@ def read_lines(page: str, in_hinted: bool) -> tuple[list[str | None], bool, bool
         if not m:
             break
         at = m.end()
+        if page.startswith("<![CDATA[", m.start()) and section_end >= 0:
+            section_end = page.find("]]>", m.start())
+            at = section_end + 3 if section_end >= 0 else at
         tag = (m[2] or m[5] or m[8] or "").lower()
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4] or m[7]), m[3] or m[6] or m[9] or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{tag}(?=[\s>/])[^>]*>|\Z", re.I).search(page, at)
+                stop = re.compile(rf"</{tag}(?=[\s>/])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
                 at = stop.end()
             continue
         opens = False
@@ -93,14 +104,18 @@ def read_lines(page: str, in_hinted: bool) -> tuple[list[str | None], bool, bool
                 opens = tag == "main" or why == "form" or (in_hinted and why == "hinted")
                 more = more or (why == "hinted" and not opens)
         if skip and not opens:
-            if closing and tag in skip:
-                del skip[len(skip) - 1 - skip[::-1].index(tag) :]
+            if closing and held[tag]:
+                while (last := skip.pop()) != tag:
+                    held[last] -= 1
+                held[tag] -= 1
             elif not closing and tag not in VOID and not attributes.endswith("/"):
                 if tag != "p" and tag != "li":
                     skip.append(tag)
+                    held[tag] += 1
             continue
         if skip:  # an article begins in an element that was left open
             skip.clear()
+            held.clear()
         if tag == "br" or tag == "wbr":
             piece.append(" " if tag == "br" else "")
             continue
@@ -108,22 +123,19 @@ def read_lines(page: str, in_hinted: bool) -> tuple[list[str | None], bool, bool
             flush()
         if not closing and tag not in VOID and tag not in ("html", "body") and (reason := skipped(tag, attributes, article)):
             flush()
-            lines.append(None)
-            inside.append(False)
+            if not article:
+                lines.append((None, False))
             if not attributes.endswith("/"):
                 skip.append(tag)
+                held[tag] += 1
                 why = reason
             continue
         if tag in ("article", "main"):
-            if closing:
-                article = max(0, article - 1)
-            else:
-                article += 1
-                marked = True
+            article = max(0, article - 1) if closing else article + 1
+            if not article or not closing and article == 1:
+                lines.append((None, False))  # articles are stretches of their own
     flush()
-    if marked and any(i and x for x, i in zip(lines, inside, strict=True)):
-        return [x if i else None for x, i in zip(lines, inside, strict=True)], True, more
-    return lines, False, more
+    return lines, more
 
 
 def skipped(tag: str, attributes: str, article: int) -> str:
@@ -151,36 +163,42 @@ def hinted(attributes: str) -> bool:
     return False
 
 
-def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
+def stretches(sizes: list[int], width: int) -> list[tuple[int, int, int]]:
+    """(begin, end, largest sum) of each run of windows of `width` lines that hold any text; a run ends `width` - 1 empty lines after its last one."""
+    found, total, begin, most = [], 0, -1, 0
+    for i, n in enumerate([*sizes, *[0] * width]):
+        total += n - (sizes[i - width] if i >= width else 0)  # lines i - width + 1 to i
+        if total and begin < 0:
+            begin, most = i, total
+        elif total:
+            most = max(most, total)
+        elif begin >= 0:
+            found.append((begin, min(i, len(sizes)), most))
+            begin = -1
+    return found
+
+
+def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE, prior: int = PRIOR) -> str:
     """The text between surge and dive points, blocks joined by an empty line."""
     if not page:
         return ""
-    lines, marked = lines_of(page)
-    sizes: list[int] = []
-    place: list[int] = []  # of each size in lines, -1 in a gap
-    for i, line in enumerate(lines):
-        if line is None:
-            sizes += [0] * width
-            place += [-1] * width
-        else:
-            sizes.append(len(line))
-            place.append(i)
-    sums, total = [], 0
-    for i, n in enumerate(sizes):  # sums[i]: lines i - width + 1 to i
-        total += n - (sizes[i - width] if i >= width else 0)
-        sums.append(total)
-    stretches: list[tuple[int, int]] = []
-    begin = None
-    for i, n in enumerate([*sums, 0]):
-        if n and begin is None:
-            begin = i
-        elif not n and begin is not None:
-            stretches.append((begin, i))
-            begin = None
-    kept = [s for s in stretches if marked or max(sums[s[0] : s[1]]) >= surge]
-    if not kept and stretches:
-        kept = [max(stretches, key=lambda s: sum(sizes[s[0] : s[1]]))]
-    return "\n\n".join(lines[place[i]] for a, b in kept for i in range(a, b) if place[i] >= 0)
+    lines: Lines = []
+    for line in lines_of(page):
+        lines += [line] if line[0] is not None else [line] * width  # a gap is as long as a window
+    size = lambda line: len(line[0] or "") * (prior if line[1] else 1)
+    kept: list[tuple[int, int, int]] = []
+    if any(inside for _, inside in lines):
+        kept = [s for s in stretches([size(x) if x[1] else 0 for x in lines], width) if s[2] >= surge]
+        if kept:
+            lines = [x if x[1] else (None, False) for x in lines]
+    if not kept:
+        every = stretches([size(x) for x in lines], width)
+        kept = [s for s in every if s[2] >= surge]
+        if not kept and any(inside for _, inside in lines):
+            lines, kept = [x if x[1] else (None, False) for x in lines], [(0, len(lines), 0)]
+        elif not kept and every:
+            kept = [max(every, key=lambda s: sum(map(size, lines[s[0] : s[1]])))]
+    return "\n\n".join(line for a, b, _ in kept for line, _ in lines[a:b] if line is not None)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
