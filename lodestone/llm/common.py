@@ -58,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MARKS = 2048  # bitmaps of 32768 bits
+
+
+def perhaps_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose `column` is in the only column of `ids`, and a few others: those whose hash one of them shares. What is
+    broadcast is MARKS bitmaps of 4 KB, 8 MB at any size of `ids`; it spares a join that follows the shuffle of most other rows."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS * 32768))
+    marks = ids.select(at(F.col(ids.columns[0])).alias("at")).groupBy(F.expr("at div 32768").alias("block_")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("marks_"))
+    place = df.withColumn("at_", at(F.col(column))).withColumn("block_", F.expr("at_ div 32768"))
+    byte = F.conv(F.hex(F.substring("marks_", F.expr("int(at_ % 32768 div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    found = place.join(F.broadcast(marks), "block_").filter(byte.bitwiseAND(F.expr("shiftleft(1, int(at_ % 8))")) != 0)
+    return found.select(*df.columns)
+
+
 def text_batches(batch, column: int, limit: int = 1 << 20):
     """Split an Arrow batch into slices whose texts hold about `limit` bytes (one text at least)."""
     import numpy as np

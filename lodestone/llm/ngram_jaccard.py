@@ -8,16 +8,17 @@ more than k; so some partition differs in at most one, and two of its three seco
 subset of two is a signature. Subsets without an element are not emitted; a set for which that may hide an equal
 partition (few elements) emits its prefix in hash order too, which two linked sets always share a member of. So no link is lost.
 
-The same count says how many signatures of a band a linked pair shares at least; pairs that share fewer are no candidates.
-Groups of fewer than HOT sets keep the members that have a plausible partner. Larger ones are mostly passages that many documents repeat: a set that must
-share t signatures leaves the 2 (t - 1) / 3 largest of its hot groups, sizes compared alike everywhere, so that a linked pair still
-shares more than a third of t.
-
-Equal sets form a class at once and only the smallest id of each class goes on. Signatures travel as packed blocks,
-are sorted in buckets of bounded size, and give groups and stars (least member, other; a quarter of the hot groups is enough for these). Stars,
-verified on whole sets, give components first; groups that still span several components then yield their cross pairs, large groups
-in pairs of blocks. All pairs stand behind exact lower bounds on the difference (sizes, counts of hash ranges) and on shared signatures.
-Thus copies never meet in pairs, and no cross pair is skipped.
+The same count says how many signatures of a band a linked pair shares at least: an element that differs spoils two of a partition's
+signatures, or the last one. Pairs that share fewer are no candidates. Hot groups (HOT sets or more) are mostly passages that many
+documents repeat: a set that must share t signatures leaves the 2 (t - 1) / 3 largest of its hot groups, sizes compared alike
+everywhere, so that a linked pair still shares more than a third of t.
+
+Equal sets form a class at once and only the smallest id of each class goes on. A signature travels as 5 bytes with the step from
+the id before it, whatever the number of buckets, and meets its like in a bucket of bounded size; a signature that is frequent within a
+block of documents goes as lists of ids instead, spread over all buckets. Groups with the same members are merged by a hash of them.
+Stars (least member, other) of a quarter of the hot groups, verified on whole sets, give components first; groups that
+still span several components then yield their cross pairs, large groups in pairs of blocks. All pairs stand behind exact lower bounds on the
+difference (sizes, counts of hash ranges) and on shared signatures. Thus copies never meet in pairs, and no cross pair is skipped.
 
 Defined results: null or empty texts and texts without words have no shingles and link with nothing; a null id takes no
 part and gets a null component; rows that repeat an id give a row each and share its links; texts of any length count whole; an empty
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, perhaps_among, text_batches
 from .components import components
 
 # The threshold as a fraction: 75 of 100.
@@ -40,7 +41,7 @@ SLACK = 1.25  # more first-level partitions than needed, so that few sets need t
 RECORDS = 2_000_000  # packed records that a task holds before it passes them on
 BUCKET = 4_000_000  # signatures a bucket, about
 RANGES = 256  # ranges whose counts (up to 15) bound the difference of two sets
-FEW = 32  # ranges of the small counts (up to 15) that travel with the signatures
+OFTEN = 64  # sets of a block that share a signature, from which on it goes as a list of ids
 HOT = 16  # members from which on a group counts as hot
 BLOCK = 2048  # members of a group in a block
 STAR = 4096  # members of a star checked in one run
@@ -78,9 +79,40 @@ class Bands:
         return self.known[size]
 
 
+def filled_parts(items, n1: int):
+    """The second-level partition of each of the sorted hashes, where each one begins, and which have an element (n1 rows of three)."""
+    import numpy as np
+
+    part = ((items >> np.uint64(32)) * np.uint64(3 * n1)) >> np.uint64(32)
+    begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    full = np.zeros(3 * n1, bool)
+    part = part[begin].astype(np.int64)
+    full[part] = True
+    return part, begin, full.reshape(n1, 3)
+
+
+def shared_at_least(full, most: int) -> int:
+    """How many signatures a set shares at least with one that differs from it in `most` elements: the first element in a partition
+    spoils two of its signatures, the second one the last."""
+    count = full.sum(1)
+    single, several = int((count == 1).sum()), int((count > 1).sum())
+    first = min(most, single + several)
+    return 2 * single + 3 * several - 2 * first - min(most - first, several)
+
+
+def bounds_of(items, bands: Bands) -> tuple[int, int, int]:
+    """A set's band, and how many signatures of that band and of the next it shares at least with any set that links with it there (0:
+    only the prefix is sure)."""
+    sure = [0, 0]
+    some = bands.of(len(items))
+    own = bands.own[len(items)]
+    for band, n1, most in some:
+        sure[band - own] = shared_at_least(filled_parts(items, n1)[2], most)
+    return own, sure[0], sure[1]
+
+
 def signatures(items, bands: Bands):
-    """PartEnum signatures of a set of sorted hashes (none where only equal sets link), its band, and how many signatures of that
-    band and of the next it shares at least with any set that links with it there (0: only the prefix is sure)."""
+    """PartEnum signatures of a set of sorted hashes; none where only equal sets link."""
     import numpy as np
 
     from .tokens import mix
@@ -88,31 +120,20 @@ def signatures(items, bands: Bands):
     out = []
     size = len(items)
     mixed = mix(items ^ np.uint64(0x5851F42D4C957F2D))
-    high = items >> np.uint64(32)
     unsafe = False
-    some_bands = bands.of(size)
-    own_band = bands.own[size]
-    sure = [0, 0]
-    for band, n1, most in some_bands:
-        part = ((high * np.uint64(3 * n1)) >> np.uint64(32)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    for band, n1, most in bands.of(size):
+        part, begin, full = filled_parts(items, n1)
         total = np.zeros(3 * n1, np.uint64)
-        total[part[begin]] = np.add.reduceat(mixed, begin)
-        full = np.zeros(3 * n1, bool)
-        full[part[begin]] = True
-        total, full = total.reshape(n1, 3), full.reshape(n1, 3)
+        total[part] = np.add.reduceat(mixed, begin)
+        total = total.reshape(n1, 3)
         own = (np.arange(n1, dtype=np.uint64) << np.uint64(2)) + (np.uint64(band) << np.uint64(40))
         for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
             some = full[:, a] | full[:, b]
             out.append(of_kind(mix(mix(total[some, a] + own[some] + np.uint64(i)) + total[some, b] * np.uint64(0x9FB21C651E98DF25)), band & 1))
-        filled = full.sum(1)
-        empty, single = int((filled == 0).sum()), int((filled == 1).sum())
-        spent = min(most, single)
-        sure[band - own_band] = max(0, n1 - (empty + spent + (most - spent) // 2))
-        unsafe |= not sure[band - own_band]
+        unsafe |= not shared_at_least(full, most)
     if unsafe:
         out.append(of_kind(mix(items[: size - -(-size * NUMERATOR // DENOMINATOR) + 1] ^ np.uint64(0x2545F4914F6CDD1D)), 2))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), (own_band, *sure)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def of_kind(sig, kind: int):
@@ -122,13 +143,6 @@ def of_kind(sig, kind: int):
     return (sig & ~np.uint64(3 << 24)) | np.uint64(kind << 24)
 
 
-def sure_of(bounds, kind):
-    """How many signatures of a kind sets share at least with a linked set; bounds: rows of (band, sure in it, sure in the next)."""
-    import numpy as np
-
-    return np.where(kind == 2, 1, np.where(bounds[:, 0] % 2 == kind, bounds[:, 1], bounds[:, 2])).astype(np.int64)
-
-
 def packed_counts(items, ranges: int):
     """Counts of the set's members in equal ranges of hashes, at most 15, two a byte."""
     import numpy as np
@@ -146,7 +160,7 @@ def unpacked_counts(packed):
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set (h1, h2), and the counts of its hash ranges."""
+    """doc_id, n_shingles, a 128-bit hash of the set (h1, h2), the counts of its hash ranges, and what bounds_of says."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -154,50 +168,80 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
 
         from .tokens import mix, shingle_sets
 
+        bands = Bands()
         for whole in batches:
             for batch in text_batches(whole, 1):
                 sets = shingle_sets(batch.column(1), n)
                 h1 = [int(mix(s).sum().view(np.int64)) for s in sets]
                 h2 = [int(mix(s ^ np.uint64(0x9E6C63D0876A9A99)).sum().view(np.int64)) for s in sets]
                 ranges = [packed_counts(s, RANGES).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ranges, pa.binary())], ["doc_id", "n", "h1", "h2", "ranges"])
+                sure = list(zip(*(bounds_of(s, bands) if len(s) else (0, 0, 0) for s in sets), strict=True))
+                cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ranges, pa.binary()), *(pa.array(x, pa.int32()) for x in sure)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "h1", "h2", "ranges", "band", "sure", "sure_next"])
+
+    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, ranges binary, band int, sure int, sure_next int")
 
-    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, ranges binary")
+
+def pack_ids(ids) -> tuple[int, int, bytes]:
+    """Ascending ids as the first one, the width of a step in bytes, and the steps from each one to the next."""
+    import numpy as np
+
+    steps = np.diff(ids.view(np.uint64), prepend=ids[:1].view(np.uint64))
+    width = next(w for w in (1, 2, 4, 8) if int(steps.max()) < 1 << 8 * w)
+    return int(ids[0]), width, steps.astype(f"<u{width}").tobytes()
+
+
+def unpack_ids(first: int, width: int, steps: bytes):
+    import numpy as np
+
+    return (np.cumsum(np.frombuffer(steps, f"<u{width}"), dtype=np.uint64) + np.array([first], np.int64).view(np.uint64)).view(np.int64)
 
 
 def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Blocks of signatures by bucket: 5 bytes of each, and the place of its document in the block's ids."""
+    """Signatures of blocks of documents by bucket: 5 bytes of each, and packed ids. Those that OFTEN sets of a block share are only
+    named to their bucket (`often`); the ids go as a row of their own, with the group's gid, to any bucket."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from .tokens import shingle_sets
+        from .tokens import mix, shingle_sets
 
         bands, seen = Bands(), set()
         found: list = []
         ids: list[int] = []
-        sure: list[tuple[int, ...]] = []
-        few: list = []
+        five = lambda sig: np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
 
         def flush():
-            sig = np.concatenate(found)
-            doc = np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])
-            bucket = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sig, doc = sig[order], doc[order]
-            edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
-            raw = sig.view(np.uint8).reshape(-1, 8)[:, 3:]
-            names = np.array(ids, np.int64).tobytes()
-            bounds = np.concatenate((np.array(sure, np.uint16).view(np.uint8).reshape(len(sure), -1), np.stack(few)), 1).tobytes()
-            some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
+            by_id = np.argsort(np.array(ids, np.int64), kind="stable")
+            sig = np.concatenate([found[i] for i in by_id])
+            doc = np.repeat(np.array(ids, np.int64)[by_id], [len(found[i]) for i in by_id])
             found.clear()
             ids.clear()
-            sure.clear()
-            few.clear()
-            for at in range(0, len(some), 16):
-                part = some[at : at + 16]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([np.ascontiguousarray(raw[edge[b] : edge[b + 1]]).tobytes() for b in part], pa.binary()), pa.array([doc[edge[b] : edge[b + 1]].tobytes() for b in part], pa.binary()), pa.array([names] * len(part), pa.binary()), pa.array([bounds] * len(part), pa.binary())], ["bucket", "sigs", "places", "ids", "sure"])
+            rows = []
+            ordered = np.sort(sig)
+            often = np.unique(ordered[OFTEN - 1 :][ordered[OFTEN - 1 :] == ordered[: len(ordered) - OFTEN + 1]]) if len(sig) >= OFTEN else sig[:0]
+            if len(often):
+                hot = np.isin(sig, often)
+                some, names = sig[hot], doc[hot]
+                order = np.argsort(some, kind="stable")
+                edge = [*np.searchsorted(some[order], often).tolist(), len(some)]
+                names = names[order]
+                spread = mix(often + np.uint64(int(names[0]) & (1 << 63) - 1)) % np.uint64(buckets)
+                for i, gid in enumerate(gid_of_signature(often >> np.uint64(24), often % np.uint64(buckets)).tolist()):
+                    rows.append((int(spread[i]), five(often[i : i + 1]), *pack_ids(names[edge[i] : edge[i + 1]]), b"", gid))
+                sig, doc = sig[~hot], doc[~hot]
+            bucket = (sig % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            sig, doc, bucket = sig[order], doc[order], bucket[order]
+            own = (often % np.uint64(buckets)).astype(np.int64)
+            for b in np.union1d(bucket, own).tolist():
+                lo, hi = np.searchsorted(bucket, [b, b + 1]).tolist()
+                rows.append((b, five(sig[lo:hi]), *(pack_ids(doc[lo:hi]) if hi > lo else (0, 1, b"")), five(often[own == b]), None))
+            for at in range(0, len(rows), 16):
+                cols = list(zip(*rows[at : at + 16], strict=True))
+                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "sigs", "first", "width", "steps", "often", "gid"])
 
         held = 0
         for whole in batches:
@@ -211,20 +255,27 @@ def _packed(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-                    sig, bound = signatures(s, bands)
+                    sig = signatures(s, bands)
                     if len(sig):
                         found.append(sig)
                         ids.append(doc)
-                        sure.append((*(min(x, 65535) for x in bound), len(s) & 65535, len(s) >> 16))
-                        few.append(packed_counts(s, FEW))
                         held += len(sig)
-                    if held >= RECORDS or len(ids) >= 65_000:
+                    if held >= RECORDS:
                         yield from flush()
                         held = 0
         if found:
             yield from flush()
 
-    return docs.mapInArrow(work, "bucket int, sigs binary, places binary, ids binary, sure binary")
+    return docs.mapInArrow(work, "bucket int, sigs binary, first long, width int, steps binary, often binary, gid long")
+
+
+def gid_of_signature(sig, bucket):
+    """The gid of groups that are named by their signature (its 5 bytes and its bucket)."""
+    import numpy as np
+
+    from .tokens import mix
+
+    return mix(mix(sig ^ np.uint64(0x8CB92BA72F3D8DD7)) + bucket.astype(np.uint64)).view(np.int64)
 
 
 def pairs_within(size, limit: int):
@@ -251,9 +302,8 @@ def near_enough(n_a, n_b, counts_a, counts_b):
 
 
 def _grouped(packed: DataFrame) -> DataFrame:
-    """Of each bucket and kind: plausible stars (a, b) of hot groups with the number of groups behind them (times) and that needed; and
-    all groups, equal ones once, with how many they are and their members' bounds. Groups below HOT keep the members with a plausible partner."""
-    schema = "a long, b long, kind int, hot boolean, times int, need int, gid long, members array<struct<doc:long,sure:int>>"
+    """(gid, kind, doc) of each signature that several ids share, by bucket; gid is a hash of the ids, or, where a signature
+    comes in lists (named), of the signature."""
 
     def work(table):
         import numpy as np
@@ -261,92 +311,68 @@ def _grouped(packed: DataFrame) -> DataFrame:
 
         from .tokens import mix
 
-        sig, ref, ids, facts, held = [], [], [], [], 0
-        for s, p, i, t in zip(*(table.column(c).to_pylist() for c in ("sigs", "places", "ids", "sure")), strict=True):
-            raw = np.zeros((len(s) // 5, 8), np.uint8)
-            raw[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
-            sig.append(raw.view(np.uint64).ravel())
-            ref.append(np.frombuffer(p, np.uint16).astype(np.uint32) + np.uint32(held))
-            ids.append(np.frombuffer(i, np.int64))
-            facts.append(np.frombuffer(t, np.uint8).reshape(len(ids[-1]), -1))
-            held += len(ids[-1])
-        sig, ref, ids, facts = np.concatenate(sig), np.concatenate(ref), np.concatenate(ids), np.concatenate(facts)
+        def wide(raw: bytes):
+            out = np.zeros((len(raw) // 5, 8), np.uint8)
+            out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+            return out.view(np.uint64).ravel()
+
+        sigs, docs, often, out = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+        for s, first, width, steps, o, gid in zip(*(table.column(c).to_pylist() for c in ("sigs", "first", "width", "steps", "often", "gid")), strict=True):
+            ids = unpack_ids(first, width, steps)
+            if gid is None:
+                sigs.append(wide(s))
+                docs.append(ids)
+                often.append(wide(o))
+            else:
+                out.append((np.full(len(ids), gid, np.int64), np.full(len(ids), int(wide(s)[0]) & 3, np.int32), ids, np.ones(len(ids), bool)))
+        sig, doc, often = np.concatenate(sigs), np.concatenate(docs), np.unique(np.concatenate(often))
+        del sigs, docs
         order = np.argsort(sig)
         sig = sig[order]
         same = sig[1:] == sig[:-1]
-        shared = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
-        sig, ref = sig[shared], ref[order[shared]].astype(np.int64)
-        del order, same
-        names, name = np.unique(ids, return_inverse=True)
-        order = np.lexsort((name[ref], sig))
-        sig, ref = sig[order], ref[order]
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(sig) else np.zeros(0, bool)
+        if len(often):
+            shared |= often[np.minimum(np.searchsorted(often, sig), len(often) - 1)] == sig
+        sig, doc = sig[shared], doc[order[shared]]
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
         if len(sig):
-            once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (name[ref][1:] != name[ref][:-1])))
-            sig, ref = sig[once], ref[once]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate((first, [len(sig)])))
-        kind = (sig & np.uint64(3)).astype(np.int64)
-        bounds = np.ascontiguousarray(facts[:, :10]).view(np.uint16).astype(np.int64)
-        sure = sure_of(bounds[ref], kind) if len(ref) else np.zeros(0, np.int64)
-        n = (bounds[:, 3] + (bounds[:, 4] << 16))[ref]
-        few = unpacked_counts(facts[:, 10:])
-
-        def counted(x, y):
-            """Distinct plausible pairs of rows x, y: (a, b, kind, times, need)."""
-            ok = near_enough(n[x], n[y], few[ref[x]], few[ref[y]])
-            x, y = x[ok], y[ok]
-            code = (name[ref[x]] * len(names) + name[ref[y]]) * 4 + kind[x]
-            code, lead, times = np.unique(code, return_index=True, return_counts=True)
-            return code, times, np.maximum(np.maximum(sure[x], sure[y]), 1)[lead]
-
-        def joined(parts):
-            code, times, need = (np.concatenate(c) if parts else np.zeros(0, np.int64) for c in (list(zip(*parts, strict=True)) or [(), (), ()]))
-            code, lead, where = np.unique(code, return_index=True, return_inverse=True)
-            return code, np.bincount(where, weights=times, minlength=len(code)).astype(np.int64) if len(code) else times, need[lead] if len(code) else need
-
-        small = np.flatnonzero((size >= 2) & (size < HOT))
-        rows = np.repeat(first[small] - np.concatenate(([0], np.cumsum(size[small])[:-1])).astype(np.int64), size[small]) + np.arange(int(size[small].sum())) if len(small) else np.zeros(0, np.int64)
-        keep = np.repeat(size >= HOT, size)
-        for x, y in pairs_within(size[small], 1_000_000):
-            x, y = rows[x], rows[y]
-            ok = near_enough(n[x], n[y], few[ref[x]], few[ref[y]])
-            keep[x[ok]] = keep[y[ok]] = True
-        large = np.flatnonzero(size >= HOT)
-        led = large[(mix(sig[first[large]]) & np.uint64(3)) == 0]
-        star = np.repeat(first[led] - np.concatenate(([0], np.cumsum(size[led])[:-1])).astype(np.int64), size[led]) + np.arange(int(size[led].sum())) if len(led) else np.zeros(0, np.int64)
-        head = np.repeat(first[led], size[led])
-        stars = joined([counted(head[head != star], star[head != star])])
-        hot = np.repeat(size >= HOT, size)[keep]
-        sig, ref, kind, sure = sig[keep], ref[keep], kind[keep], sure[keep]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate((first, [len(sig)])))
-        total = np.add.reduceat(mix(ids[ref].view(np.uint64) * np.uint64(8) + (kind * 2 + hot).astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
-        gid, pick, count = np.unique(total, return_index=True, return_counts=True)
-        span = size[pick]
-        rows = np.repeat(first[pick] - np.concatenate(([0], np.cumsum(span)[:-1])).astype(np.int64), span) + np.arange(int(span.sum())) if len(pick) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(span))), pa.int32()), pa.StructArray.from_arrays([pa.array(ids[ref[rows]]), pa.array(sure[rows].astype(np.int32))], ["doc", "sure"]))
-        bucket = np.uint64(table.column("bucket")[0].as_py())
-        code, p, m = stars[0], len(stars[0]), len(pick)
-        column = lambda x, t: pa.concat_arrays([pa.array(x.astype(t.to_pandas_dtype())), pa.nulls(m, t)])
-        cols = [column(names[code // 4 // max(1, len(names))], pa.int64()), column(names[code // 4 % max(1, len(names))], pa.int64()), pa.array(np.concatenate((code % 4, kind[first[pick]])).astype(np.int32)), pa.array(np.concatenate((np.ones(p, bool), hot[first[pick]])))]
-        cols += [pa.array(np.concatenate((stars[1], count)).astype(np.int32)), column(stars[2], pa.int32())]
-        cols += [pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(mix(gid + mix(np.array([bucket]))).view(np.int64))]), pa.concat_arrays([pa.nulls(p, lists.type), lists])]
-        return pa.table(cols, names=["a", "b", "kind", "hot", "times", "need", "gid", "members"])
-
-    return packed.groupBy("bucket").applyInArrow(work, schema)
-
-
-def _representatives(pairs: DataFrame, known: DataFrame, *more: str) -> DataFrame:
-    """pairs (a, b) with each id's class representative in its place; pairs within a class go."""
-    rep = lambda x: known.select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")).distinct()
-    return pairs.join(rep("a"), "a").join(rep("b"), "b").filter("rep_a != rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), *more)
-
-
-def _stars(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b), a < b, once each: the stars that seem to share as many groups as a link needs. They are only the first pairs to be verified."""
-    summed = groups.filter("members is null").groupBy("a", "b", "kind").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times * 4 >= need")
-    found = _representatives(summed.select("a", "b").distinct(), known)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])))
+            sig, doc = sig[once], doc[once]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.concatenate((first, [len(sig)])))
+            kind = (sig & np.uint64(3)).astype(np.int32)
+            gid = mix(np.add.reduceat(mix(doc.view(np.uint64) * np.uint64(8) + kind.astype(np.uint64)), first)).view(np.int64)
+            named = np.isin(sig[first], often)
+            gid[named] = gid_of_signature(sig[first[named]], np.array([table.column("bucket")[0].as_py()]))
+            keep = np.repeat((size > 1) | named, size)
+            out.append((np.repeat(gid, size)[keep], kind[keep], doc[keep], np.repeat(named, size)[keep]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, bool)]
+        return pa.table([pa.array(c) for c in cols], names=["gid", "kind", "doc", "named"])
+
+    return packed.groupBy("bucket").applyInArrow(work, "gid long, kind int, doc long, named boolean")
+
+
+def _members(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(gid, doc, kind, times, n, sure, size): the classes of each group that has several, by their representatives. times: how many
+    signatures have this group; sure: how many of the kind the class shares at least with a linked one."""
+    merged = groups.groupBy("gid", "doc").agg(F.max("kind").alias("kind"), F.when(F.max("named"), F.lit(1)).otherwise(F.count("*")).cast("int").alias("times"))
+    facts = known.select(F.col("doc_id").alias("doc"), "rep", "n", "band", "sure", "sure_next").dropDuplicates(["doc", "rep"])
+    sure = F.when(F.col("kind") == 2, F.lit(1)).otherwise(F.when(F.col("band") % 2 == F.col("kind"), F.col("sure")).otherwise(F.col("sure_next")))
+    classes = merged.join(facts, "doc").withColumn("sure", F.greatest(sure, F.lit(1))).groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "times", "n", "sure")))
+    classes = cut(classes)
+    sizes = classes.groupBy("gid").agg(F.count("*").cast("int").alias("size")).filter("size > 1")
+    return classes.join(sizes, "gid")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each: stars of a quarter of the hot groups that seem to share half the signatures a link needs. They are
+    only the first pairs to be verified."""
+    hot = members.filter((F.col("size") >= HOT) & (F.pmod(F.xxhash64("gid"), F.lit(4)) == 0))
+    heads = hot.groupBy("gid").agg(F.min(F.struct("doc", "n", "sure")).alias("head"))
+    pairs = hot.join(heads, "gid").filter("doc != head.doc").filter(f"least(n, head.n) * {DENOMINATOR} >= greatest(n, head.n) * {NUMERATOR}")
+    summed = pairs.groupBy(F.col("head.doc").alias("a"), F.col("doc").alias("b"), "kind").agg(F.sum("times").alias("times"), F.max(F.greatest("sure", "head.sure")).alias("need"))
+    return summed.filter("times * 2 >= need").select("a", "b").distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -383,11 +409,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     salted = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), "b")
     members = salted.select("a", "salt", F.col("b").alias("doc_id"), F.lit(True).alias("member"))
     centres = salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"), F.lit(False).alias("member"))
-    texts = members.unionByName(centres).join(docs, "doc_id").select("a", "salt", "doc_id", "member", "text")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = members.unionByName(centres).join(perhaps_among(docs, "doc_id", ids), "doc_id").select("a", "salt", "doc_id", "member", "text")
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(work, "a long, b long").distinct()
 
 
-def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> DataFrame:
+def _cross_pairs(members: DataFrame, known: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that share as many groups of a kind as a link needs, behind the range bound. Large groups go in pairs of blocks."""
 
     def work(batches: Iterator) -> Iterator:
@@ -425,17 +452,15 @@ def _cross_pairs(groups: DataFrame, known: DataFrame, component: DataFrame) -> D
         if held is not None and held.num_rows:
             yield from pairs_of(held)
 
-    rep = known.select(F.col("doc_id").alias("doc"), "rep").distinct()
-    members = groups.filter("members is not null").select("gid", "kind", "hot", "times", F.size("members").alias("size"), F.inline("members")).join(rep, "doc")
-    members = members.groupBy("gid", F.col("rep").alias("doc")).agg(*(F.max(c).alias(c) for c in ("kind", "hot", "times", "size", "sure")))
-    own = Window.partitionBy("doc", "kind")
-    members = members.withColumn("upto", F.sum("times").over(own.orderBy(F.desc("hot"), F.desc("size"), "gid")))
-    members = members.withColumn("leaves", F.col("hot") & (F.col("kind") < 2) & (F.col("upto") * 3 <= (F.col("sure") - 1) * 2))
-    members = cut(members.withColumn("spared", F.coalesce(F.max(F.when(F.col("leaves"), F.col("upto"))).over(own), F.lit(0)).cast("int")).filter("NOT leaves").drop("leaves", "upto"))
     placed = members.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    wide = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x != y").select("gid", "blocks")
-    facts = known.filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "n", "ranges").dropDuplicates(["doc"])
-    rows = placed.join(wide, "gid").join(facts, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    wide = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("gid")
+    own = Window.partitionBy("doc", "kind")
+    spanning = placed.join(wide, "gid").withColumn("hot", F.col("size") >= HOT).withColumn("upto", F.sum("times").over(own.orderBy(F.desc("hot"), F.desc("size"), "gid")))
+    spanning = spanning.withColumn("leaves", F.col("hot") & (F.col("kind") < 2) & (F.col("upto") * 3 <= (F.col("sure") - 1) * 2))
+    spanning = cut(spanning.withColumn("spared", F.coalesce(F.max(F.when(F.col("leaves"), F.col("upto"))).over(own), F.lit(0)).cast("int")).filter("NOT leaves").drop("leaves", "upto", "hot", "size"))
+    blocks = spanning.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("left")).filter("left > 1").drop("left")
+    facts = known.filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "ranges").dropDuplicates(["doc"])
+    rows = spanning.join(blocks, "gid").join(facts, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "component", "n", "ranges", "kind", "times", "sure", "spared")
     found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(work, "a long, b long, kind int, times long, need int")
@@ -449,15 +474,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = cut(_described(docs, n))
     classes = facts.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    full = cut(facts.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "ranges"))
+    full = cut(facts.join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "ranges", "band", "sure", "sure_next"))
     known = full.filter("n > 0 and doc_id is not null")
     total = facts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 1.2) // BUCKET))
-    groups = cut(_grouped(_packed(docs, n, buckets)))
-    stars = cut(_stars(groups, known))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 1.4) // BUCKET))
+    members = cut(_members(_grouped(_packed(docs, n, buckets)), known))
+    stars = cut(_stars(members))
     links = cut(_linked(stars, docs, n))
     component = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    cross = cut(_cross_pairs(groups, known, component).join(stars, ["a", "b"], "left_anti"))
+    cross = cut(_cross_pairs(members, known, component).join(stars, ["a", "b"], "left_anti"))
     more = _linked(cross, docs, n)
     node = lambda x: component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     bridges = more.join(node("a"), "a", "left").join(node("b"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))

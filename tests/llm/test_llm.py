@@ -136,6 +136,30 @@ def test_poisson_levels():
     assert mixing.poisson_levels(0) == []
 
 
+def test_mixing_large_rates(spark, tmp_path):
+    """Rates above LIMIT are split: mean and variance stay, the plan stays small, SQL agrees."""
+    rows = [(i, "t", "en", "rare" if i < 40 else "src9", 1) for i in range(400)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = mixing.mix(docs, weights={"rare": 0.8}, size=10_000)
+    n = [r["count"] for r in out.filter("source = 'rare'").groupBy("doc_id").count().collect()]
+    assert len(n) == 40 and abs(np.mean(n) - 200) < 5 * math.sqrt(200 / 40) and 60 < np.var(n) < 500
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/docs/*.parquet'")
+    want = con.execute(mixing.oracle({"rare": 0.8}).replace("(SELECT sum(n) FROM sizes)", "10000")).fetchall()
+    assert sorted((r[0], r[-1]) for r in want) == sorted((r["doc_id"], r["copy"]) for r in out.select("doc_id", "copy").collect())
+    plan = mixing.mix(docs, weights={"rare": 0.8}, size=1e9)._jdf.queryExecution().optimizedPlan().toString()
+    assert mixing.parts_of(1e7) == 156_250 and len(mixing.poisson_levels(1e7 / mixing.parts_of(1e7))) < 300 and len(plan) < 100_000
+
+
+def test_mixing_keeps_columns_and_spreads_rows_without_id(docs, spark):
+    out = mixing.mix(clashing(docs), weights={})
+    assert set(out.columns) == set(clashing(docs).columns) | {"copy", "shuffle_key"} and {r["_n"] for r in out.select("_n").collect()} == {1}
+    rows = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("s").alias("source"))
+    keys = mixing.mix(rows, weights={}, size=900).select("shuffle_key", "copy", "text").collect()
+    assert len({r["shuffle_key"] for r in keys}) == len(keys)
+
+
 def test_mixing_edges(empty, docs):
     assert mixing.mix(empty).isEmpty()
     assert mixing.mix(clashing(docs), weights={}).count() == mixing.mix(docs, weights={}).count()
@@ -549,6 +573,15 @@ def test_substring_dedup_edges(spark, empty):
     assert got == [(False, 0), (False, 0), (False, 60), (True, 0)]
 
 
+def test_substring_dedup_repeated_ids(spark):
+    """Rows that repeat an id are judged each by its own text."""
+    a, b = prose(71, 80), prose(72, 56)
+    rows = [(1, a), (5, a + " " + b), (5, b), (5, a), (7, b), (5, None), (5, "x"), (3, prose(73, 90)), (3, b)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = sorted([(1, 80, 0), (5, 136, 136), (5, 56, 56), (5, 80, 80), (7, 56, 56), (5, 0, 0), (5, 1, 0), (3, 90, 0), (3, 56, 0)])
+    assert got == want
+
+
 # 8
 
 
@@ -672,6 +705,19 @@ def test_classifier(spark):
     assert {x["doc_id"]: x["score"] for x in out if x["doc_id"] == 0} == {0: next(x["score"] for x in out if x["doc_id"] is None)}
 
 
+def test_classifier_sample_is_bounded(spark):
+    """max_rows bounds rows, not ids; max_bytes bounds their features; a very long text is scored whole."""
+    df = spark.createDataFrame([(i % 10, prose(i, 30)) for i in range(300)] + [(99, prose(7, 60_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 2, "doc_id long, quality int")
+    sample = lambda rows, size: quality_classifier.training_rows(df, labels, "doc_id", "text", "quality", F.lit(True), rows, size, 1 << 12)
+    x, y = sample(20_000, 1 << 30)
+    assert len(x) == len(y) == 10 and len(sample(4, 1 << 30)[0]) == 4
+    total = sum(a.nbytes for a in x)
+    assert 0 < sum(a.nbytes for a in sample(20_000, total // 2)[0]) <= total // 2 and sample(20_000, 0) == ([], [])
+    out = quality_classifier.score(df, labels, F.lit(True), cells=1 << 12)
+    assert out.count() == 301 and out.filter("score is null").isEmpty()
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (2, 0)]])
 def test_classifier_without_two_classes(spark, labels):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
