@@ -5,8 +5,9 @@ repetition of the word before), hashed into `cells`. Each is scaled by the log r
 classes; a linear hinge-loss model is then fitted by dual coordinate descent, classes weighted to balance, and a logistic curve
 over out-of-fold margins turns margins into scores.
 
-The model is fitted on at most `max_rows` labelled documents, those least in a hash of their id, so that the sample is
-the same at every run; every document is scored whole. Labels only ever choose and mark training rows.
+The model is fitted on a sample of the labelled documents, those least in a hash of their id, so that it is
+the same at every run: `max_rows` documents at most, and of these only as many as fit into `max_bytes` bytes of features, a row at
+a time in that order. Of rows that repeat an id, one is learnt from, the least by its features. Every document is scored whole. Labels only ever choose and mark training rows.
 
 Defined results: a null or empty text has no features and scores as such a text; rows with a null id or label are never
 trained on; a null id is not held out; rows that repeat an id get equal scores for equal texts; with one class (or none) to learn from, all scores are that
@@ -18,13 +19,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import cut, text_batches
 
 CELLS = 1 << 18
 MAX_ROWS = 20_000
+MAX_BYTES = 64 << 20
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 12
@@ -163,8 +165,8 @@ def id_crc(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trained: Column, max_rows: int, cells: int) -> tuple[list, list[int]]:
-    """Features and labels of the sample; max_rows rows of at most `cells` features reach the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trained: Column, max_rows: int, max_bytes: int, cells: int) -> tuple[list, list[int]]:
+    """Features and labels of the sample; max_rows rows and max_bytes bytes at most reach the driver."""
     import numpy as np
 
     marks = labels.filter(trained & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("y"))
@@ -178,13 +180,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in features(batch.column(2), cells)], pa.binary())], ["doc_id", "y", "x"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(work, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
+    every = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(work, "doc_id long, y int, x binary")
+    once = cut(every.groupBy("doc_id").agg(F.min(F.struct(F.length("x").alias("size"), "x", "y")).alias("row")).select("doc_id", "row.*"))
+    order = Window.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")  # max_rows ids and sizes at most
+    fit = once.select("doc_id", F.sum("size").over(order).alias("upto")).filter(F.col("upto") <= max_bytes).select("doc_id")
+    found = once.join(F.broadcast(fit), "doc_id").select("doc_id", "y", "x").toArrow().sort_by("doc_id")
     return [np.frombuffer(x, np.int32) for x in found.column("x").to_pylist()], found.column("y").to_pylist()
 
 
-def score(docs: DataFrame, labels: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, cells: int = CELLS, level: float = LEVEL) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, cells: int = CELLS, level: float = LEVEL) -> DataFrame:
     """One row a document: doc_id, score, predicted. trained: which labelled rows may be learnt from."""
-    model = fit(*training_rows(docs, labels, id_col, text_col, label_col, trained, max_rows, cells), cells)
+    model = fit(*training_rows(docs, labels, id_col, text_col, label_col, trained, max_rows, max_bytes, cells), cells)
     if model["weights"] is not None:
         model |= {"weights": model["weights"].astype("float32"), "ratios": model["ratios"].astype("float32")}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two floats a cell
