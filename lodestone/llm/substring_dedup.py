@@ -12,7 +12,7 @@ id for each name is found by partial minima, and a window that also starts in a
 least id of a class goes on, the others are wholly removed if they have a window at all.
 
 Defined results: null or empty texts have no words; rows with a null id lose nothing and give nothing; rows that repeat an id are
-taken to repeat its text and lose the same words; texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
+judged each by its own text, and a window in one of them does not count against another; texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def kept_digest(data, start, end) -> str:
 
 
 def _facts(docs: DataFrame) -> DataFrame:
-    """doc_id, n words, a 128-bit name of the sequence of words (h1, h2)."""
+    """doc_id, row, n words, a 128-bit name of the sequence of words (h1, h2)."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -133,9 +133,9 @@ def _facts(docs: DataFrame) -> DataFrame:
                 for salt in (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03):
                     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(at + np.uint64(salt))))))
                     sums.append((total[w.first[1:]] - total[w.first[:-1]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *map(pa.array, sums)], ["doc_id", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), *map(pa.array, sums)], ["doc_id", "row", "n", "h1", "h2"])
 
-    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long")
+    return docs.select("doc_id", "text", "row").mapInArrow(work, "doc_id long, row long, n long, h1 long, h2 long")
 
 
 def _anchor_keys(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _anchor_keys(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """Names of the windows that hold an anchor among `keys`, of rows (doc_id, text, keys): doc_id, place, h1, h2."""
+    """Names of the windows that hold an anchor among `keys`, of rows (doc_id, text, keys, row): doc_id, row, place, h1, h2."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -179,7 +179,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 h = hashes(w)
                 place, key = anchors(h, w.first)
                 edge = np.searchsorted(place, w.first)
-                out = [[], [], [], []]
+                out = [[], [], [], [], []]
                 for i, keys in enumerate(batch.column(2)):
                     begin, end = int(w.first[i]), int(w.first[i + 1])
                     if end - begin < WINDOW:
@@ -198,12 +198,12 @@ def _windows(docs: DataFrame) -> DataFrame:
                     if not len(starts):
                         continue
                     a, b = _names(w, begin, end - WINDOW + 1, h)
-                    for o, x in zip(out, (np.full(len(starts), batch.column(0)[i].as_py(), np.int64), starts.astype(np.int32), a[starts], b[starts]), strict=True):
+                    for o, x in zip(out, (np.full(len(starts), batch.column(0)[i].as_py(), np.int64), np.full(len(starts), batch.column(3)[i].as_py(), np.int64), starts.astype(np.int32), a[starts], b[starts]), strict=True):
                         o.append(x)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["doc_id", "place", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["doc_id", "row", "place", "h1", "h2"])
 
-    return docs.mapInArrow(work, "doc_id long, place int, h1 long, h2 long")
+    return docs.mapInArrow(work, "doc_id long, row long, place int, h1 long, h2 long")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -238,23 +238,27 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, places): for documents with removed words, whether all of it goes, or where removed windows start."""
+    """(doc_id, row, whole, places): for rows with removed words, whether all of it goes, or where removed windows start."""
     facts = cut(_facts(docs)).filter("doc_id is not null")
     least = facts.filter(F.col("n") >= WINDOW).groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    copies = cut(facts.join(least, ["h1", "h2", "n"]).filter("doc_id > least").select("doc_id").distinct())
-    keys = _anchor_keys(docs).join(copies, "doc_id", "left_anti")
+    marked = facts.join(least, ["h1", "h2", "n"], "left").select("doc_id", "row", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
+    marked = cut(marked.distinct())
+    copies = marked.filter("copy").select("doc_id", "row")
+    gone = marked.groupBy("doc_id").agg(F.min("copy").alias("all")).filter("all").select("doc_id")  # ids of which every row is a copy
+    keys = _anchor_keys(docs).join(gone, "doc_id", "left_anti")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("key")
     holders = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    windows = cut(_windows(docs.join(holders, "doc_id").select("doc_id", "text", "keys")))
+    windows = cut(_windows(docs.join(holders, "doc_id").select("doc_id", "text", "keys", "row")))
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h1", "h2", "least")
-    later = windows.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    return later.select("doc_id", F.lit(False).alias("whole"), "places").unionByName(copies.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("places")))
+    later = windows.join(first, ["h1", "h2"]).filter("doc_id > least").groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+    later = later.join(copies, ["doc_id", "row"], "left_anti")
+    return later.select("doc_id", "row", F.lit(False).alias("whole"), "places").unionByName(copies.select("doc_id", "row", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("places")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _judged(docs.join(removals(docs), "doc_id", "left").select("doc_id", "text", "whole", "places"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
+    return _judged(docs.join(removals(docs), ["doc_id", "row"], "left").select("doc_id", "text", "whole", "places"))
 
 
 ORACLE = f"""
