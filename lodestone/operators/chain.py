@@ -46,8 +46,9 @@ def key_lookup(kv: DataFrame, key: str) -> DataFrame:
 
 def key_batch_lookup(kv: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in the order of keys; a key that is given twice gives its row twice."""
-    asked = kv.sparkSession.createDataFrame(list(enumerate(keys)), "ask int, key string")
-    return _plain(kv.join(asked, "key")).join(asked.select(F.col("ask"), F.col("key").alias("_k")), F.col("key") == F.col("_k")).withColumn("pos", F.col("ask").cast("long")).select(*COLUMNS).distinct()
+    asked = kv.sparkSession.createDataFrame(list(enumerate(keys)), "ask long, key string")
+    found = kv.join(asked, "key")
+    return _plain(found.withColumn("tuple_id", F.struct("tuple_id", "ask"))).select(F.col("pos.ask").alias("pos"), *(F.col("tuple_id.tuple_id").alias(c) if c == "tuple_id" else F.col(c) for c in COLUMNS[1:]))
 
 
 def follow(kv: DataFrame, seeds: DataFrame, hops: int, terminal: Literal["row", "prefixes"] = "row", branch: str | None = None) -> DataFrame:
@@ -257,9 +258,9 @@ PROJECTIONS = {
 }
 
 
-def project(rows: DataFrame, name: str, **args) -> DataFrame:
+def project(rows: DataFrame, projection: str, /, **args) -> DataFrame:
     """(source_key, key, value) strings of a projection."""
-    cols = PROJECTIONS[name](**args)
+    cols = PROJECTIONS[projection](**args)
     return rows.select(*((F.lit(None) if c is None else c).cast("string").alias(n) for n, c in zip(("source_key", "key", "value"), cols, strict=True)))
 
 
