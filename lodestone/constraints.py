@@ -38,14 +38,19 @@ def failing(df: DataFrame, expr: str) -> DataFrame:
     return df.filter(~F.expr(expr))
 
 
-def verify(table: str, df: DataFrame, constraints: list[Constraint], parents) -> None:
-    """Raise for the first constraint that df breaks; parents(name) gives a parent table."""
+def taken(df: DataFrame, old: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Keys of df that old has already; a key with a NULL is never taken."""
+    return old.select(*columns).join(df.dropna(subset=list(columns)).select(*columns).distinct(), list(columns), "left_semi")
+
+
+def verify(table: str, df: DataFrame, constraints: list[Constraint], parents, old: DataFrame | None = None) -> None:
+    """Raise for the first constraint that df breaks; parents(name) gives a parent table. old: rows that hold already, beside which df comes."""
     for c in constraints:
         if c.kind == "primary":
             missing = df.filter(" OR ".join(f"`{x}` IS NULL" for x in c.columns))
             if not missing.isEmpty():
                 raise ConstraintError(f"null value in the primary key of {table}", "23502")
-        if c.kind in ("primary", "unique") and not duplicates(df, c.columns).isEmpty():
+        if c.kind in ("primary", "unique") and not (duplicates(df, c.columns).isEmpty() and (old is None or taken(df, old, c.columns).isEmpty())):
             raise ConstraintError(f"duplicate key violates {c.name} of {table}", "23505")
         if c.kind == "check" and not failing(df, c.expr).isEmpty():
             raise ConstraintError(f"a row violates {c.name} of {table}", "23514")

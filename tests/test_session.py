@@ -6,6 +6,8 @@ import pytest
 from lodestone import dialect
 from lodestone.errors import ConstraintError, DataError, EngineError, TransactionError, UnsupportedError
 from lodestone.session import Session
+from lodestone.storage import Store
+from lodestone.streaming.upsert import Upsert
 from lodestone.types import parse, sql_type
 
 
@@ -206,3 +208,112 @@ def test_named_windows_and_ranks(session):
     df = session.sql("SELECT id, RANK() OVER w2, LAG(id) OVER (w ORDER BY id) AS before FROM acct WINDOW w AS (PARTITION BY bal >= 0), w2 AS (w ORDER BY bal DESC) ORDER BY id LIMIT 2")
     assert df.dtypes[1] == ("rank", "bigint")
     assert rows(df) == [(1, 1, None), (2, 3, 1)]
+
+
+def test_ddl_is_part_of_its_transaction(spark):
+    s = Session(spark)
+    other = Session(spark, s.store, s.catalog)
+    s.sql("CREATE TABLE keep (id INT)")
+    s.sql("BEGIN")
+    s.sql("CREATE TABLE z (id INT)")
+    s.sql("INSERT INTO z VALUES (1)")
+    s.sql("ALTER TABLE keep RENAME TO kept")
+    assert s.sql("SELECT * FROM z").count() == 1 and s.sql("SELECT * FROM kept").count() == 0
+    with pytest.raises(Exception):
+        other.sql("SELECT * FROM z").count()
+    s.sql("ROLLBACK")
+    for name in ("z", "kept"):
+        with pytest.raises(Exception):
+            s.sql(f"SELECT * FROM {name}").count()
+    assert s.sql("SELECT * FROM keep").count() == 0
+    s.sql("BEGIN")
+    s.sql("CREATE TABLE z (id INT PRIMARY KEY)")
+    s.sql("INSERT INTO z VALUES (7)")
+    s.sql("DROP TABLE keep")
+    s.sql("COMMIT")
+    assert [r[0] for r in other.sql("SELECT id FROM z").collect()] == [7] and "keep" not in other.catalog.tables
+    s.sql("BEGIN")
+    s.sql("CREATE VIEW v AS SELECT id FROM z")
+    other.sql("CREATE VIEW w AS SELECT id FROM z")
+    with pytest.raises(TransactionError):
+        s.sql("COMMIT")
+    assert set(s.catalog.views) == {"w"}
+
+
+def test_literals_keep_schema_names(spark):
+    s = Session(spark)
+    s.sql("CREATE TABLE t (a TEXT)")
+    s.sql("INSERT INTO t VALUES ('public.x')")
+    assert s.sql("SELECT a FROM public.t WHERE a = 'public.x'").count() == 1
+    assert s.sql("SELECT 'public.x' AS a, 'pg_catalog.pg_class' AS b").first() == ("public.x", "pg_catalog.pg_class")
+
+
+def test_a_rewrite_builds_on_what_it_has_read(spark, monkeypatch):
+    s = Session(spark)
+    s.sql("CREATE TABLE t (a INT)")
+    s.sql("INSERT INTO t VALUES (1)")
+    other, put = Session(spark, s.store, s.catalog), s._put
+
+    def late(name, df, **more):
+        monkeypatch.undo()
+        other.sql("INSERT INTO t VALUES (2)")
+        return put(name, df, **more)
+
+    monkeypatch.setattr(s, "_put", late)
+    with pytest.raises(TransactionError) as e:
+        s.sql("UPDATE t SET a = 5 WHERE a = 1")
+    assert e.value.sqlstate == "40001" and sorted(r[0] for r in s.sql("SELECT a FROM t").collect()) == [1, 2]
+
+
+def test_copy_draws_serials(spark, tmp_path):
+    s = Session(spark)
+    s.sql("CREATE TABLE t (id SERIAL PRIMARY KEY, a TEXT DEFAULT 'x', b TEXT)")
+    s.sql("INSERT INTO t (b) VALUES ('first')")
+    (tmp_path / "in.txt").write_text("".join(f"r{i}\n" for i in range(50)))
+    s.sql(f"COPY t (b) FROM '{tmp_path}/in.txt'")
+    s.sql("INSERT INTO t (b) VALUES ('last')")
+    rows = s.sql("SELECT id, a, b FROM t").collect()
+    assert sorted(r["id"] for r in rows) == list(range(1, 53)) and {r["a"] for r in rows} == {"x"} and max(rows, key=lambda r: r["id"])["b"] == "last"
+
+
+def test_appends_check_new_rows_against_old_ones(spark):
+    s = Session(spark)
+    s.sql("CREATE TABLE p (id INT PRIMARY KEY, u TEXT UNIQUE, up INT REFERENCES p (id))")
+    s.sql("INSERT INTO p VALUES (1, 'a', 1), (2, NULL, 1)")
+    for bad, state in (("(1, 'b', 1)", "23505"), ("(3, 'a', 1)", "23505"), ("(4, 'c', 9)", "23503"), ("(5, 'd', 1), (5, 'e', 1)", "23505"), ("(NULL, 'f', 1)", "23502")):
+        with pytest.raises(EngineError) as e:
+            s.sql(f"INSERT INTO p VALUES {bad}")
+        assert e.value.sqlstate == state
+    s.sql("INSERT INTO p VALUES (6, NULL, 2)")
+    assert s.sql("SELECT * FROM p").count() == 3
+
+
+def test_a_store_outlives_its_session(spark, tmp_path):
+    root = str(tmp_path / "store")
+    s = Session(spark, Store(spark, root))
+    s.sql("CREATE TABLE t (id SERIAL PRIMARY KEY, a NUMERIC(10,2) CHECK (a > 0), b TEXT DEFAULT 'x')")
+    s.sql("INSERT INTO t (a) VALUES (1.5), (2.5)")
+    s.sql("CREATE VIEW v AS SELECT id FROM t WHERE a > 2")
+    s.sql("CREATE FUNCTION f() RETURNS INT LANGUAGE SQL AS 'SELECT 42'")
+    late = Store(spark, root)
+    again = Session(spark, late)
+    assert [tuple(r) for r in again.sql("SELECT id, b FROM t ORDER BY id").collect()] == [(1, "x"), (2, "x")] and again.sql("SELECT * FROM v").count() == 1
+    assert again.catalog == s.catalog
+    again.sql("INSERT INTO t (a) VALUES (3)")
+    with pytest.raises(EngineError):
+        again.sql("INSERT INTO t (a) VALUES (-1)")
+    with pytest.raises(TransactionError):  # the first process has not seen that
+        s.sql("INSERT INTO t (a) VALUES (4)")
+    assert sorted(r[0] for r in Session(spark, Store(spark, root)).sql("SELECT id FROM t").collect()) == [1, 2, 3]
+
+
+def test_upsert_of_null_keys_and_of_batches_run_again(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v string, at int")
+    sink = Upsert(Store(spark, root), "t", ["k"], "at")
+    sink(rows((None, "a", 1), (1, "b", 1)), 0)
+    sink(rows((None, "c", 2), (2, "d", 2)), 1)
+    again = Upsert(Store(spark, root), "t", ["k"], "at")
+    again(rows((None, "z", 9)), 1)
+    store = Store(spark, root)
+    assert {tuple(r) for r in store.read(store.latest("t")).collect()} == {(None, "c", 2), (1, "b", 1), (2, "d", 2)}
