@@ -30,28 +30,16 @@ def customers(tuples: DataFrame) -> DataFrame:
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    few = lambda t, df: df.filter("s_suppkey < 15") if t == "supplier" else df
-    return tuple(few(t, load(spark, sf_dir, t)).select(F.col(c).alias("k")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey")))
-
-
-def _set(name: str, how: int = 2):
-    return lambda spark, sf_dir: getattr(setops, name)(*_keys(spark, sf_dir)[:how])
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keys of whole tables that grow with the scale, the first two repeated: each holds keys that another lacks."""
     return tuple(load(spark, sf_dir, t).select(F.col(c).alias("k")) for t, c in (("orders", "o_custkey"), ("lineitem", "l_suppkey"), ("part", "p_partkey")))
 
 
-def _set_whole(name: str, how: int = 2):
-    return lambda spark, sf_dir: getattr(setops, name)(*_whole(spark, sf_dir)[:how])
-
+def _set(name: str, how: int = 2):
+    return lambda spark, sf_dir: getattr(setops, name)(*_keys(spark, sf_dir)[:how])
 
-C, S, N = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey < 15", "SELECT n_nationkey AS k FROM nation"
-COUNTS = f"a AS (SELECT k, count(*) AS n FROM ({C}) GROUP BY k), b AS (SELECT k, count(*) AS n FROM ({S}) GROUP BY k), c AS (SELECT k, count(*) AS n FROM ({N}) GROUP BY k)"
 
 O, L, P = "SELECT o_custkey AS k FROM orders", "SELECT l_suppkey AS k FROM lineitem", "SELECT p_partkey AS k FROM part"
-WHOLE_COUNTS = f"a AS (SELECT k, count(*) AS n FROM ({O}) GROUP BY k), b AS (SELECT k, count(*) AS n FROM ({L}) GROUP BY k), c AS (SELECT k, count(*) AS n FROM ({P}) GROUP BY k)"
+COUNTS = f"a AS (SELECT k, count(*) AS n FROM ({O}) GROUP BY k), b AS (SELECT k, count(*) AS n FROM ({L}) GROUP BY k), c AS (SELECT k, count(*) AS n FROM ({P}) GROUP BY k)"
 
 
 def chain_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +58,6 @@ def chain_seed_to_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = kv(spark, sf_dir)
-    seeds = t.filter(F.col("key").isin("c1", "c2", "c3"))
-    return chain.read(chain.follow(t, seeds, 0, "prefixes"), projection="source_key_target_value")
-
-
-def chain_prefix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = kv(spark, sf_dir)
     return chain.read(chain.follow(t, customers(t), 0, "prefixes"), projection="source_key_target_value")
 
@@ -127,38 +109,21 @@ QUERIES = {
     "set_except_all": _set("except_all"),
     "set_symdiff": _set("symmetric_difference_distinct"),
     "set_symdiff_all": _set("symmetric_difference_all", 3),
-    "set_union_all_whole": _set_whole("concat"),
-    "set_union_whole": _set_whole("concat_distinct"),
-    "set_intersect_whole": _set_whole("intersect_distinct"),
-    "set_intersect_all_whole": _set_whole("intersect_all"),
-    "set_except_whole": lambda spark, sf_dir: setops.except_distinct(_whole(spark, sf_dir)[2], _whole(spark, sf_dir)[1]),
-    "set_except_all_whole": _set_whole("except_all"),
-    "set_symdiff_whole": _set_whole("symmetric_difference_distinct"),
-    "set_symdiff_all_whole": _set_whole("symmetric_difference_all", 3),
-} | {f.__name__: f for f in (chain_one_hop, chain_two_hop, chain_seed_to_input, chain_prefix, chain_prefix_whole, chain_branches, chain_first_branch, chain_path_filters, chain_occurrence, chain_order_limit, chain_lookup)}
+} | {f.__name__: f for f in (chain_one_hop, chain_two_hop, chain_seed_to_input, chain_prefix, chain_branches, chain_first_branch, chain_path_filters, chain_occurrence, chain_order_limit, chain_lookup)}
 
 ORACLES = {
-    "set_union_all": f"{C} UNION ALL {S}",
-    "set_union": f"{C} UNION {S}",
-    "set_intersect": f"{C} INTERSECT {S}",
-    "set_intersect_all": f"{C} INTERSECT ALL {S}",
-    "set_except": f"{N} EXCEPT {S}",
-    "set_except_all": f"{C} EXCEPT ALL {S}",
-    "set_symdiff": f"SELECT k FROM (SELECT DISTINCT 0 AS s, k FROM ({C}) UNION ALL SELECT DISTINCT 1, k FROM ({S})) GROUP BY k HAVING count(*) = 1",
+    "set_union_all": f"{O} UNION ALL {L}",
+    "set_union": f"{O} UNION {L}",
+    "set_intersect": f"{O} INTERSECT {L}",
+    "set_intersect_all": f"{O} INTERSECT ALL {L}",
+    "set_except": f"{P} EXCEPT {L}",
+    "set_except_all": f"{O} EXCEPT ALL {L}",
+    "set_symdiff": f"SELECT k FROM (SELECT DISTINCT 0 AS s, k FROM ({O}) UNION ALL SELECT DISTINCT 1, k FROM ({L})) GROUP BY k HAVING count(*) = 1",
     "set_symdiff_all": f"WITH {COUNTS}, d AS (SELECT k, abs(abs(coalesce(a.n, 0) - coalesce(b.n, 0)) - coalesce(c.n, 0)) AS n FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)), e AS (SELECT k, unnest(range(n)) AS i FROM d) SELECT k FROM e",
-    "set_union_all_whole": f"{O} UNION ALL {L}",
-    "set_union_whole": f"{O} UNION {L}",
-    "set_intersect_whole": f"{O} INTERSECT {L}",
-    "set_intersect_all_whole": f"{O} INTERSECT ALL {L}",
-    "set_except_whole": f"{P} EXCEPT {L}",
-    "set_except_all_whole": f"{O} EXCEPT ALL {L}",
-    "set_symdiff_whole": f"SELECT k FROM (SELECT DISTINCT 0 AS s, k FROM ({O}) UNION ALL SELECT DISTINCT 1, k FROM ({L})) GROUP BY k HAVING count(*) = 1",
-    "set_symdiff_all_whole": f"WITH {WHOLE_COUNTS}, d AS (SELECT k, abs(abs(coalesce(a.n, 0) - coalesce(b.n, 0)) - coalesce(c.n, 0)) AS n FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)), e AS (SELECT k, unnest(range(n)) AS i FROM d) SELECT k FROM e",
     "chain_one_hop": f"{ONE} SELECT source_key, key, value FROM h",
     "chain_two_hop": f"{TWO} SELECT {NONE}, k2 AS key, k0 || '=' || v0 || ' -> ' || k1 || '=' || v1 || ' -> ' || k2 || '=' || v2 AS value FROM h",
     "chain_seed_to_input": f"{TWO} SELECT {NONE}, k2 AS key, v0 || ' -> ' || v1 AS value FROM h",
-    "chain_prefix": f"WITH {KV_SQL} SELECT s.key AS source_key, a.key, a.value FROM kv s JOIN kv a ON starts_with(a.key, s.value) WHERE s.key IN ('c1', 'c2', 'c3')",
-    "chain_prefix_whole": f"WITH {KV_SQL} SELECT s.key AS source_key, a.key, a.value FROM kv s JOIN kv a ON starts_with(a.key, s.value) WHERE s.key LIKE 'c%'",
+    "chain_prefix": f"WITH {KV_SQL} SELECT s.key AS source_key, a.key, a.value FROM kv s JOIN kv a ON starts_with(a.key, s.value) WHERE s.key LIKE 'c%'",
     "chain_branches": f"{TWO} SELECT 'nation' AS source_key, k1 AS key, v1 AS value FROM h UNION ALL SELECT 'region', k2, v2 FROM h",
     "chain_first_branch": f"WITH {KV_SQL}, far AS (SELECT s.tuple_id, b.key, b.value FROM kv s JOIN kv a ON s.value = a.key JOIN kv b ON a.value = b.key), near AS (SELECT s.tuple_id, a.key, a.value FROM kv s JOIN kv a ON s.value = a.key) SELECT 'far' AS source_key, key, value FROM far UNION ALL SELECT 'near', key, value FROM near WHERE tuple_id NOT IN (SELECT tuple_id FROM far)",
     "chain_path_filters": f"{TWO} SELECT k0 AS source_key, k2 AS key, v2 AS value FROM h WHERE (k1 = 'n3' AND k2 = 'r3') OR k1 = 'n5'",

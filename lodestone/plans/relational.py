@@ -72,8 +72,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     # joins
     "join_inner": "SELECT o.o_orderkey, c.c_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 7",
     "join_text_key": "SELECT a.n_nationkey, b.n_nationkey AS other FROM {nation} a JOIN {nation} b ON a.n_name = b.n_name",
-    "join_decimal_key": "SELECT a.p_partkey, b.p_partkey AS other FROM {part} a JOIN {part} b ON a.p_retailprice = b.p_retailprice WHERE a.p_partkey < 50",
-    "join_decimal_key_whole": "SELECT a.p_partkey, b.p_partkey AS other FROM {part} a JOIN {part} b ON a.p_retailprice = b.p_retailprice",
+    "join_decimal_key": "SELECT a.p_partkey, b.p_partkey AS other FROM {part} a JOIN {part} b ON a.p_retailprice = b.p_retailprice",
     "join_composite": "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity > 45",
     "join_mixed_width": "SELECT n.n_name, s.s_suppkey FROM {nation} n JOIN {supplier} s ON n.n_nationkey = s.s_suppkey",
     "join_three_way": "SELECT c.c_custkey, n.n_name, r.r_name FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA'",

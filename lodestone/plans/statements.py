@@ -166,7 +166,14 @@ def digest_visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.max("h").alias("high"), F.min("h").alias("low"))
 
 
-QUERIES = {f.__name__: f for f in (dml_insert_returning, dml_insert, dml_update_add, dml_update_returning, dml_delete, dml_truncate, snapshot_as_of, transaction_overlay, constraint_fk, constraint_unique, constraint_check, view_over_view, matview_refresh, prepared_param, cursor_page, copy_roundtrip, copy_csv_roundtrip, stream_upsert, window_inherited, catalog_join, infoschema_columns, digest_visible_rows)}
+def digest_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row count and the sum of a hash of every row: whatever changes in any row, or any row twice, changes it."""
+    row = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    hashed = F.conv(F.substring(F.md5(row.cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return load(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.sum(hashed).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (dml_insert_returning, dml_insert, dml_update_add, dml_update_returning, dml_delete, dml_truncate, snapshot_as_of, transaction_overlay, constraint_fk, constraint_unique, constraint_check, view_over_view, matview_refresh, prepared_param, cursor_page, copy_roundtrip, copy_csv_roundtrip, stream_upsert, window_inherited, catalog_join, infoschema_columns, digest_visible_rows, digest_all_rows)}
 BY_REGION = "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey"
 ORACLES = {
     "window_inherited": "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_acctbal AS DECIMAL(12,2)) NULLS LAST, c_custkey) AS BIGINT) AS rn, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS above FROM customer",
@@ -189,5 +196,7 @@ ORACLES = {
     "copy_roundtrip": "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_name || chr(9) || chr(92) || 'x' END AS c_name, CAST(c_acctbal AS DECIMAL(12,2)) AS c_acctbal FROM customer",
     "copy_csv_roundtrip": "SELECT c_custkey, 'say \"' || c_name || '\", ' AS c_name, CAST(c_acctbal AS DECIMAL(12,2)) > 0 AS solvent FROM customer",
     "stream_upsert": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY odd DESC, event_id DESC) AS rn FROM (SELECT user_id, event_id, event_type, event_id % 2 = 1 OR event_id < 100 AS odd FROM events)) WHERE rn = 1",
+    "digest_all_rows": "SELECT COUNT(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 12) AS BIGINT)) AS DECIMAL(38,0)) AS digest FROM orders",
+    "infoschema_columns": "SELECT * FROM (VALUES ('nation', 'n_nationkey', 1, 'integer'), ('nation', 'n_name', 2, 'text'), ('nation', 'n_regionkey', 3, 'integer')) AS t(table_name, column_name, ordinal_position, data_type)",
     "digest_visible_rows": "SELECT COUNT(*) AS n, max(h) AS high, min(h) AS low FROM (SELECT md5(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation)",
 }
