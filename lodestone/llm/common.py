@@ -37,9 +37,11 @@ def literal_array(values: Iterable, of: str = "double") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own setting, or, where it is unset, one of this machine."""
+    """The folder for checkpoints: the cluster's own setting, or, where it is unset and the master is local, one of this machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 

@@ -115,11 +115,14 @@ def score(ws: Column, ratios: list[float]) -> Column:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: `doc_id`, the base counts, base_failed, llr (null without words) and kept, after columns `keep`."""
+    """One row a document: `doc_id`, the base counts, base_failed, llr (null without words) and kept, after columns `keep`; one of these that
+    has the name of an output gives way to it."""
     ratios = fit(docs, text_col, cells)
-    split = docs.select(*keep, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_ws"))
+    split = docs.select(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep))).alias("_keep"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_ws"))
     counts = base_counts(F.col("_text"), F.col("_ws"))
-    out = split.select(*keep, F.col("_id"), *(c.alias(f"_{k}") for k, c in counts.items()), score(F.col("_ws"), ratios).alias("_llr"))
+    out = split.select("_keep", "_id", *(c.alias(f"_{k}") for k, c in counts.items()), score(F.col("_ws"), ratios).alias("_llr"))
     failed = base_failed(F.col("_n_words"), F.col("_n_repeat_words"))
     verdict = ~failed & F.coalesce(F.col("_llr") >= threshold, F.lit(False))
-    return out.select(*keep, *([] if id_col in keep else [F.col("_id").alias("doc_id")]), *(F.col(f"_{k}").alias(k) for k in counts), failed.alias("base_failed"), F.col("_llr").alias("llr"), verdict.alias("kept"))
+    own = {"doc_id": F.col("_id"), **{k: F.col(f"_{k}") for k in counts}, "base_failed": failed, "llr": F.col("_llr"), "kept": verdict}
+    passed = [F.col(f"_keep.keep_{i}").alias(c) for i, c in enumerate(keep) if c not in own]
+    return out.select(*passed, *(c.alias(k) for k, c in own.items()))

@@ -497,33 +497,40 @@ def rule_counts(text):
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality_rules(docs, spark):
-    rows = documents() + [(500, "a | b\na | b\n\n\n  \na $5 " + prose(9, 60), "", "", 0), (501, "the the the the " * 20, "", "", 0), (502, "né " * 3 + prose(8, 80), "", "", 0)]
-    cells = 512
-    got = {r["doc_id"]: r for r in quality_rules.judge(clashing(spark.createDataFrame(rows, SCHEMA)), cells=cells).collect()}
-    raw, good = collections.Counter(), collections.Counter()
-    grams = {}
+def quality_brute(rows, cells):
+    """doc_id -> (base counts, base_failed, llr, kept) of rows (doc_id, text, ...)."""
+    raw, good, grams, out = collections.Counter(), collections.Counter(), {}, {}
     for i, t, *_ in rows:
         ws = WORD.findall(t or "")
-        g = [spark_cell([w], cells) for w in ws] + [spark_cell(p, cells) for p in itertools.pairwise(ws)]
-        grams[i] = g
-        raw.update(g)
+        grams[i] = [spark_cell([w], cells) for w in ws] + [spark_cell(p, cells) for p in itertools.pairwise(ws)]
+        raw.update(grams[i])
         marks = sum(c in "#*$%&|<>!" for c in t or "")
         if len(ws) >= 50 and marks * 50 <= len(ws) and len(set(ws)) * 4 >= min(len(ws), 400):
-            good.update(g)
+            good.update(grams[i])
     total_raw, total_good = sum(raw.values()) + cells, sum(good.values()) + cells
     for i, t, *_ in rows:
-        n, chars, symbols, dup, repeat = rule_counts(t)
-        r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
-        failed = n < 50 or 100 * repeat > 50 * n
-        assert r["base_failed"] == failed
-        if n:
-            want = sum(math.log((good[c] + 1) / total_good) - math.log((raw[c] + 1) / total_raw) for c in grams[i]) / len(grams[i])
-            assert abs(r["llr"] - want) < 1e-6
-            assert r["kept"] == (not failed and r["llr"] >= quality_rules.THRESHOLD)
-        else:
-            assert r["llr"] is None and not r["kept"]
+        counts = rule_counts(t)
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        llr = sum(math.log((good[c] + 1) / total_good) - math.log((raw[c] + 1) / total_raw) for c in grams[i]) / len(grams[i]) if counts[0] else None
+        out[i] = (counts, failed, llr, not failed and llr is not None and llr >= quality_rules.THRESHOLD)
+    return out
+
+
+def test_quality_rules(docs, spark):
+    rows = documents() + [(500, "a | b\na | b\n\n\n  \na $5 " + prose(9, 60), "", "", 0), (501, "the the the the " * 20, "", "", 0), (502, "né " * 3 + prose(8, 80), "", "", 0)]
+    want = quality_brute(rows, 512)
+    for r in quality_rules.judge(clashing(spark.createDataFrame(rows, SCHEMA)), cells=512).collect():
+        counts, failed, llr, kept = want[r["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts
+        assert (r["base_failed"], r["kept"]) == (failed, kept) and (r["llr"] is None if llr is None else abs(r["llr"] - llr) < 1e-6)
+
+
+def test_quality_rules_keep(docs):
+    """Kept columns pass, whatever their names; one with the name of an output gives way to it."""
+    wide = docs.withColumns({c: F.lit("x") for c in ("_id", "_text", "_ws", "n_words", "kept", "llr", "_keep")})
+    out = quality_rules.judge(wide, cells=64, keep=tuple(wide.columns))
+    assert len(set(out.columns)) == len(out.columns) and dict(out.dtypes)["kept"] == "boolean" and dict(out.dtypes)["n_words"] in ("int", "bigint")
+    assert {(r["_id"], r["_ws"], r["_keep"]) for r in out.select("_id", "_ws", "_keep").collect()} == {("x", "x", "x")} and out.count() == docs.count()
 
 
 def test_quality_rules_empty(empty):
@@ -883,6 +890,45 @@ def test_pipeline(spark, tmp_path):
     assert docs.count() == 2 * mixed.count() and corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on its predecessor's rows, by brute force: verdicts, least ids of components, masks, Poisson counts by SQL, two segmentations a copy."""
+    import corpus_pipeline
+
+    base = prose(1, 150)
+    rows = [(i, edited(base, i, i), "en", f"src{i % 6}", 0) for i in range(12)] + [(20 + i, prose(90 + i, 70 + i) + (" token = deadbeefdeadbeefdeadbeef01" if i % 3 else ""), "en", f"src{i % 7}", 0) for i in range(25)]
+    rows += [(60, "w### " * 90, "en", "src0", 0), (61, None, None, None, None), (62, "", "en", "src1", 0), (63, prose(5, 180), "en", None, 0), (64, base, "en", "src2", 0)]
+    spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("n", "rep", "kept", "copy")}).write.parquet(str(tmp_path / "documents.parquet"))
+    verdicts = quality_brute(rows, quality_rules.CELLS)
+    kept = [r for r in rows if verdicts[r[0]][3]]
+    least = {i for i, _, c in jaccard_brute(kept) if c == i}
+    kept = [(i, secret_scans.masked(t), lang, source, len(secret_scans.masked(t))) for i, t, lang, source, _ in kept if i in least]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", kept)
+    copies = collections.Counter(r[0] for r in con.execute(mixing.oracle()).fetchall())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = collections.Counter(r["doc_id"] for r in out.select("doc_id").collect())
+    assert len(kept) > 20 and got == collections.Counter({i: 2 * n for i, n in copies.items()})
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_topk_clashing_columns_and_long_vectors(spark):
+    rows = [(i, [math.sin(i * j + 0.1) for j in range(1500)], 1, 2, 3) for i in range(40)] + [(41, None, 1, 2, 3), (42, [], 1, 2, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>, rank int, score int, query_id int")
+    name = [c for c in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").columns if c != "vec_id"][0] if __import__("os").path.isdir("/root/testdata/sf0.001") else "vec"
+    got = exact_topk.top_k(df.withColumnRenamed("vec", name), lambda i: i % 20 == 0).collect()
+    whole = {i: [math.floor(64 * x) for x in v] for i, v, *_ in rows if v}
+    for q in (0, 20):
+        want = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q))[:20]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in want]
+
+
 def test_registry_queries_run(spark):
     import os
 
