@@ -61,7 +61,9 @@ NAME_ATTRIBUTES, VALUE_ATTRIBUTES = frozenset("key name id property".split()), f
 WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "pass": 0.8, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "signature": 0.6, "salt": 0.6, "pin": 0.6}
 KEY_QUALIFIERS = frozenset({"api", "access", "private", "secret", "signing", "encryption", "auth", "master", "client", "account", "shared", "session", "service", "crypt"})
 PLACEHOLDERS = re.compile(r"(?i)\A(?:none|null|nil|true|false|undefined|changeme|change_me|example|placeholder|redacted|todo|your[_-].*|x+|\*+|\.+|\$\{.*|\$\(.*|<.*|%\(.*|\{\{.*|os\.environ.*|env\..*|process\.env.*|getenv.*)\Z")
-SENSITIVE = re.compile("|".join([*WEIGHTS, "keys?"]), re.I)
+# A sensitive name holds one of these; a pair, one of those.
+SENSITIVE = ("pass", "pwd", "secret", "token", "apikey", "credential", "bearer", "auth", "signature", "salt", "pin", "key")
+ASSIGNING = ("=", ":", "<", "(", "--")
 MIN_LITERAL = 6
 DEEP = 8  # outer names that a path holds
 DEPTH = 16  # names that a value is carried through
@@ -301,7 +303,10 @@ def path_weight(path: tuple[str, ...]) -> float:
 
 def lexed_spans(text: str, level: float = LEVEL) -> list[Span]:
     """Spans of literals that reach a sensitive name."""
-    if not SENSITIVE.search(text):  # no name can reach the level
+    if not any(x in text for x in ASSIGNING):
+        return []
+    low = text.lower()
+    if not any(x in low for x in SENSITIVE):  # no name can reach the level
         return []
     pairs = Reader(text).read()
     known: dict[str, tuple[list[int], list[Pair]]] = {}
