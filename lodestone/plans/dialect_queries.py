@@ -213,3 +213,47 @@ def _copy_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_("delete_returning", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 def _delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir, "nation").sql("DELETE FROM nation WHERE n_regionkey = 2 RETURNING n_nationkey, n_name")
+
+
+@_("catalog_casts", "SELECT 'nation' AS relname, TRUE AS visible, 'owner' AS owner UNION ALL SELECT 'region', TRUE, 'owner'")
+def _casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A describe query as psql sends it: regular expression, casts to oids, catalog functions."""
+    s = session(spark, sf_dir, "nation", "region", "supplier")
+    return s.sql("SELECT c.relname, pg_catalog.pg_table_is_visible(c.oid) AS visible, pg_catalog.pg_get_userbyid(10) AS owner FROM pg_catalog.pg_class c WHERE c.relname OPERATOR(pg_catalog.~) '^(nation|region)$' AND c.relnamespace = 'public'::regnamespace AND c.oid <> 'supplier'::regclass")
+
+
+@_("psql_lists", "SELECT * FROM (VALUES ('public', 'nation', 'table', 'owner'), ('public', 'asia', 'view', 'owner'), ('public', 'q', 'sequence', 'owner')) AS t(schema, name, type, owner)")
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir, "nation")
+    s.sql("CREATE VIEW asia AS SELECT * FROM nation WHERE n_regionkey = 2")
+    s.sql("CREATE SEQUENCE q")
+    return s.psql("\\d")
+
+
+@_("psql_describe", """SELECT * FROM (VALUES ('n_nationkey', 'integer', 'not null', ''), ('n_name', 'text', '', ''), ('n_regionkey', 'integer', '', '7')) AS t("column", type, nullable, "default")""")
+def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir, "nation")
+    s.sql("ALTER TABLE nation ADD PRIMARY KEY (n_nationkey)")
+    s.sql("ALTER TABLE nation ALTER COLUMN n_regionkey SET DEFAULT 7")
+    return s.psql("\\d nation")
+
+
+@_("relation_size", "SELECT TRUE AS some, TRUE AS none")
+def _size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir, "nation")
+    s.sql("CREATE TABLE bare (a INT)")
+    return s.sql("SELECT pg_relation_size('nation') > 0 AS some, pg_relation_size('bare') = 0 AS none")
+
+
+@_("program", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 500, 9")
+def _program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predeclared transaction, run once whole and once taken back by its last statement."""
+    s = session(spark, sf_dir, "nation")
+    s.sql("ALTER TABLE nation ADD PRIMARY KEY (n_nationkey)")
+    s.declare_program("move", ["UPDATE nation SET n_regionkey = $2 WHERE n_nationkey = $1", "DELETE FROM nation WHERE n_nationkey = $3", "INSERT INTO nation VALUES ($4, 'NEW', $2)"])
+    s.run_program("move", (3, 9, 4, 500))
+    try:
+        s.run_program("move", (5, 8, 6, 500))  # the key is taken
+    except Exception as e:  # noqa: BLE001
+        assert getattr(e, "sqlstate", "") == "23505"
+    return s.sql("SELECT n_nationkey, n_regionkey FROM nation")
