@@ -317,3 +317,20 @@ def test_upsert_of_null_keys_and_of_batches_run_again(spark, tmp_path):
     again(rows((None, "z", 9)), 1)
     store = Store(spark, root)
     assert {tuple(r) for r in store.read(store.latest("t")).collect()} == {(None, "c", 2), (1, "b", 1), (2, "d", 2)}
+
+
+def test_rewrites_leave_untouched_files_alone(spark):
+    s = Session(spark)
+    s.sql("CREATE TABLE t (a INT PRIMARY KEY, b INT)")
+    for i in range(4):
+        s.sql(f"INSERT INTO t VALUES ({i}, 0), ({10 + i}, 0)")
+    before = set(s.store.files(s.version("t")))
+    s.sql("UPDATE t SET b = 5 WHERE a = 2")
+    after = set(s.store.files(s.version("t")))
+    assert len(before & after) >= len(before) - 2 and s.sql("SELECT * FROM t WHERE b = 5").count() == 1
+    with pytest.raises(ConstraintError):
+        s.sql("UPDATE t SET a = 3 WHERE a = 2")
+    s.sql("DELETE FROM t WHERE a = 13")
+    s.sql("DELETE FROM t WHERE a = 999")
+    s.sql("VACUUM t")
+    assert sorted(rows(s.sql("SELECT a, b FROM t"))) == [(0, 0), (1, 0), (2, 5), (3, 0), (10, 0), (11, 0), (12, 0)]
