@@ -334,3 +334,34 @@ def test_rewrites_leave_untouched_files_alone(spark):
     s.sql("DELETE FROM t WHERE a = 999")
     s.sql("VACUUM t")
     assert sorted(rows(s.sql("SELECT a, b FROM t"))) == [(0, 0), (1, 0), (2, 5), (3, 0), (10, 0), (11, 0), (12, 0)]
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT a + b FROM t", "SELECT -a FROM t", "SELECT a FROM t WHERE NOT (a = 1)", "SELECT a FROM t WHERE b = -a", "SELECT a, COUNT(*) FROM t GROUP BY a ORDER BY a + 1", "SELECT a, COUNT(*) FROM t GROUP BY a ORDER BY b",
+    "SELECT COUNT(*) FROM t ORDER BY a", "SELECT DISTINCT a FROM t ORDER BY b", "SELECT a, COUNT(*) FROM t GROUP BY a HAVING b > 1", "SELECT a FROM t ORDER BY a USING <",
+])
+def test_strict_gate_refuses_shapes(text):
+    with pytest.raises(UnsupportedError):
+        dialect.check_strict(text)
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM t", "SELECT t.a, b AS c, t.* FROM t WHERE a = -1 AND NOT flag AND b NOT IN (1, 2) ORDER BY d DESC NULLS LAST", "SELECT a, COUNT(*), SUM(b) AS s FROM t GROUP BY a HAVING s > 1 AND count > 2 AND a <> 'x' ORDER BY s DESC, 1, a",
+    "SELECT COUNT(DISTINCT a) FROM t ORDER BY count", "SELECT DISTINCT a, b FROM t ORDER BY b, a", "SELECT a, ROW_NUMBER() OVER (PARTITION BY b ORDER BY a) AS rn, LAG(a, 2) OVER w FROM t WINDOW w AS (ORDER BY a)", "SELECT 1 + 1", "SELECT x.a FROM t x JOIN u y ON x.k = y.k WHERE y.b IS NULL ORDER BY y.c",
+])
+def test_strict_gate_lets_pass(text):
+    dialect.check_strict(text)
+
+
+def test_strict_views_and_sums_of_text(session):
+    with pytest.raises(EngineError) as e:
+        session.sql("SELECT SUM(note) FROM acct")
+    assert e.value.sqlstate == "42883"
+    session.sql("CREATE MATERIALIZED VIEW m AS SELECT id FROM acct")
+    session.strict = True
+    session.sql("CREATE VIEW v AS SELECT * FROM acct WHERE id > 1")
+    session.sql("CREATE VIEW w AS SELECT * FROM v")
+    for text in ("CREATE VIEW x AS SELECT id FROM acct", "CREATE VIEW x AS SELECT * FROM m", "CREATE OR REPLACE VIEW v AS SELECT * FROM acct"):
+        with pytest.raises(EngineError):
+            session.sql(text)
+    assert session.sql("SELECT * FROM w").count() == 2
