@@ -257,3 +257,15 @@ def _program(spark: SparkSession, sf_dir: str) -> DataFrame:
     except Exception as e:  # noqa: BLE001
         assert getattr(e, "sqlstate", "") == "23505"
     return s.sql("SELECT n_nationkey, n_regionkey FROM nation")
+
+
+@_("kv_batches", "SELECT 'c' || CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_nationkey = 1 THEN 'moved' ELSE c_name END AS value FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey IN (SELECT o_custkey FROM orders)")
+def _kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of pairs set, set again and deleted, then a batch of keys read."""
+    s = Session(spark)
+    customer = load(s.spark, sf_dir, "customer")
+    key = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    s.kv_set(customer.select(key("c_custkey"), "c_name"))
+    s.kv_set(customer.filter("c_nationkey = 1").select(key("c_custkey"), F.lit("moved")))
+    s.kv_delete(customer.filter("c_custkey % 3 = 0").select(key("c_custkey")))
+    return s.kv_get(load(s.spark, sf_dir, "orders").select(key("o_custkey")))
