@@ -48,6 +48,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "point_lookup_compound": "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_linenumber = 2 AND l_orderkey = 77",
     "point_lookup_batch": "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderkey IN (1, 5, 77, 500, 1000, 999999)",
     "point_lookup_text_batch": "SELECT p_name, p_brand FROM {part} WHERE p_partkey IN (3, 9, 27, 81)",
+    "scan_chunk_skipping": "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey IN (5, 77, 311) AND o_orderkey > 100",
+    "scan_cold_chunks": "SELECT COUNT(*) AS n, MIN(l_shipdate) AS first_day, MAX(l_shipdate) AS last_day, MIN(l_returnflag) AS flag FROM {lineitem}",
+    "join_out_of_core": "SELECT /*+ MERGE(l, o) */ o.o_orderpriority, COUNT(*) AS n, COUNT(l.l_orderkey) AS matched FROM {orders} o LEFT JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey AND l.l_linenumber > 3 GROUP BY o.o_orderpriority",
     # predicates
     "filter_int_compare": "SELECT p_partkey, p_size FROM {part} WHERE p_size > 25 AND 40 >= p_size AND p_size <> 30",
     "filter_col_vs_col": "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_partkey < l_suppkey * 10 AND l_orderkey <> l_partkey",
@@ -150,12 +153,20 @@ def names_in(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return run_sql(spark, sf_dir, FIXTURES[name]) if name in FIXTURES else load(spark, sf_dir, name)
+#: Ranges of amounts that a query's WHERE asks for, as the scan can use them: query -> table -> column -> (low, high).
+RANGES: dict[str, dict] = {
+    "filter_between": {"part": {"p_retailprice": (910, 950)}},
+    "agg_scalar_filtered": {"lineitem": {"l_quantity": (10, 20)}},
+    "forecast_revenue": {"lineitem": {"l_discount": (0.05, 0.07), "l_quantity": (None, 24)}},
+}
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str, ranges: dict | None = None) -> DataFrame:
+    return run_sql(spark, sf_dir, FIXTURES[name]) if name in FIXTURES else load(spark, sf_dir, name, within=(ranges or {}).get(name))
 
 
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(text, **{name: relation(spark, sf_dir, name) for name in names_in(text)})
+def run_sql(spark: SparkSession, sf_dir: str, text: str, ranges: dict | None = None) -> DataFrame:
+    return spark.sql(text, **{name: relation(spark, sf_dir, name, ranges) for name in names_in(text)})
 
 
 def oracle(text: str) -> str:
@@ -181,9 +192,9 @@ def oracle(text: str) -> str:
     return f"WITH {ctes} {body}" if ctes else body
 
 
-def _query(text: str):
-    return lambda spark, sf_dir: run_sql(spark, sf_dir, text)
+def _query(name: str, text: str):
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, text, RANGES.get(name))
 
 
-QUERIES = {name: _query(text if isinstance(text, str) else text[0]) for name, text in SQL.items()}
+QUERIES = {name: _query(name, text if isinstance(text, str) else text[0]) for name, text in SQL.items()}
 ORACLES = {name: oracle(text if isinstance(text, str) else text[1]) for name, text in SQL.items()}

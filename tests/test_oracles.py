@@ -59,3 +59,13 @@ def test_set_queries_have_whole_tables(spark, duck, name):
 def test_prefix_and_decimal_joins_have_whole_tables(spark, duck):
     assert registry.QUERIES["chain_prefix"](spark, DIR).select("source_key").distinct().count() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
     assert registry.QUERIES["join_decimal_key"](spark, DIR).select("p_partkey").distinct().count() == duck.execute("SELECT count(*) FROM part WHERE p_retailprice IS NOT NULL").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["filter_between", "agg_scalar_filtered", "forecast_revenue"])
+def test_ranges_of_amounts_reach_the_scan(spark, name):
+    plan = registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(" in plan[plan.index("PushedFilters") :]
+
+
+def test_an_out_of_core_join_sorts_and_merges(spark):
+    assert "SortMergeJoin" in registry.QUERIES["join_out_of_core"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
