@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import semantics
-from lodestone.operators import chain, setops
+from lodestone.operators import chain, pairs, setops
 from lodestone.streaming import upsert
 from lodestone.storage import Store
 
@@ -90,3 +90,30 @@ def test_upsert_stream(spark, tmp_path):
     sink(spark.createDataFrame([(2, 5, "d"), (3, 1, None)], "k int, at int, v string"), 7)
     sink(spark.createDataFrame([(2, 9, "again")], "k int, at int, v string"), 7)
     assert bag(store.read(store.latest("t"))) == [(1, 2, "b"), (2, 5, "d"), (3, 1, None)]
+
+
+def grouped(spark):
+    """Groups of 0, 1 and many rows, nulls in key, order and value, equal orders, a repeated row."""
+    rows = [(i % 3, i // 2, None if i % 5 == 0 else f"v{i}") for i in range(60)] + [(None, 1, "n"), (None, 2, "n"), (1, None, "o"), (7, 1, "one"), (8, 1, "same"), (8, 1, "same"), (8, 2, None)]
+    return spark.createDataFrame(rows, "g int, x int, v string")
+
+
+@pytest.mark.parametrize("equal", [False, True])
+@pytest.mark.parametrize("block", [1, 4, 1024])
+@pytest.mark.parametrize(("low", "high"), [(["x"], ["x"]), (["v", "x"], ["x", "v"]), (["g"], ["v"])])
+def test_ordered_pairs(spark, monkeypatch, equal, block, low, high):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    df = grouped(spark)
+    all_rows = df.collect()
+    want = [(tuple(a[c] for c in low), tuple(b[c] for c in high)) for a in all_rows for b in all_rows if None not in (a["g"], a["x"], b["g"], b["x"]) and a["g"] == b["g"] and (a["x"] < b["x"] or equal and a["x"] == b["x"])]
+    got = pairs.ordered_pairs(df, ["g"], "x", low, high, equal).collect()
+    assert sorted(((tuple(r["low"]), tuple(r["high"])) for r in got), key=repr) == sorted(want, key=repr)
+    keyed = pairs.ordered_pairs(df, ["g", "v"], "x", low, high, equal).count()
+    assert keyed == sum(1 for a in all_rows for b in all_rows if None not in (*a, *b) and (a["g"], a["v"]) == (b["g"], b["v"]) and (a["x"] < b["x"] or equal and a["x"] == b["x"]))
+
+
+def test_pairs_of_one_key_are_dealt_over_all_tasks(spark):
+    """A plain join makes all of these in the one task of their key."""
+    df = pairs.ordered_pairs(spark.range(6000).withColumn("g", F.lit(1)), ["g"], "id", ["id"], ["id"])
+    made = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(made) == 6000 * 5999 // 2 and len(made) == 4 and max(made) < sum(made) / 2

@@ -365,3 +365,40 @@ def test_strict_views_and_sums_of_text(session):
         with pytest.raises(EngineError):
             session.sql(text)
     assert session.sql("SELECT * FROM w").count() == 2
+
+
+@pytest.fixture
+def paired(spark):
+    s = Session(spark)
+    s.sql('CREATE TABLE t (g UUID, h INT, x INT, "Big" TEXT)')
+    ids = ["00000000-0000-0000-0000-00000000000" + d for d in "12"]
+    s.sql("INSERT INTO t VALUES " + ", ".join(f"('{ids[i % 2]}', {i % 3}, {i // 3}, 'b{i}')" for i in range(24)) + f", (NULL, 1, 1, 'n'), ('{ids[0]}', 1, NULL, NULL)")
+    return s
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT a.x, b.x AS other FROM t a JOIN t b ON a.g = b.g WHERE a.x < b.x",
+    "SELECT b.\"Big\", a.x, a.x AS y, b.g FROM public.t AS a INNER JOIN t AS b ON b.g = a.g AND a.h = b.h WHERE a.x >= b.x",
+    "select B.h, a.X from T a join t b on a.g = b.g where b.x <= A.x;",
+    "SELECT a.h FROM t a JOIN t b ON a.g = b.g WHERE a.x < b.x",
+])
+def test_pairs_within_groups_are_joined_by_blocks(paired, text):
+    df = paired.sql(text)
+    paired._register("t")
+    plain = paired.spark.sql(dialect.to_spark(text.replace("public.", "").replace('"Big"', "`Big`")))
+    assert "posexplode" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.dtypes == plain.dtypes and sorted(rows(df), key=repr) == sorted(rows(plain), key=repr) != []
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT COUNT(*) AS n FROM t a JOIN t b ON a.g = b.g WHERE a.x < b.x",
+    "SELECT a.x FROM t a JOIN t b ON a.g = b.g WHERE a.x < b.x AND a.h = 1",
+    "SELECT a.x FROM t a JOIN t b ON a.g = b.g OR a.h = b.h WHERE a.x < b.x",
+    "SELECT a.x FROM t a JOIN t b ON a.h = b.x WHERE a.x < b.x",
+    "SELECT a.x FROM t a JOIN t b ON a.g = b.g WHERE a.x < a.h",
+    "SELECT DISTINCT a.x FROM t a JOIN t b ON a.g = b.g WHERE a.x < b.x",
+    "SELECT a.x FROM t a LEFT JOIN t b ON a.g = b.g WHERE a.x < b.x",
+    "SELECT a.x FROM t a JOIN t b ON a.g = b.g WHERE a.x < b.x ORDER BY a.x LIMIT 3",
+])
+def test_other_joins_are_left_to_spark(text):
+    assert dialect.ordered_pairs(text) is None
